@@ -57,16 +57,16 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # lines are told from their places alone, so that the texts are shuffled once, beside a short list each
     gone = covered(docs.select("doc_id", "text"), window)
     base = docs.drop("n_lines", "n_removed", "__id", "__gone")
+    # the input text gets a name of its own: inside a lambda, the output's name would win
+    names, base = base.columns, base.withColumnRenamed("text", "__text")
     met = base.join(gone, base["doc_id"].eqNullSafe(gone["__id"]), "left")
-    lines = _lines(F.col("text"))
+    lines = _lines(F.col("__text"))
     hit = F.filter("__gone", lambda i: i < F.size(lines))
-    # a map from line number would cost a lookup per line; a sorted list is walked through array_except of places
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     kept = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
-    # an empty array joins to an empty string
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    text = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept)
+    n_lines = F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_removed = F.coalesce(F.size(hit), F.lit(0)).cast("long")
-    n_removed = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(n_removed).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in base.columns]
+    n_removed = F.when(F.col("__gone").isNull() | F.col("__text").isNull(), F.lit(0)).otherwise(n_removed).cast("long")
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in names]
     return met.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
