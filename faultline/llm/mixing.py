@@ -17,6 +17,8 @@ WEIGHTS, MAX_EPOCHS, BLOCK_WORDS, BUCKET_DOCS = (5, 2, 1), 3, 64, 50_000
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which points meet shares; rows up to which the table of sources is broadcast.
 GRID, SMALL_ROWS = 1024, 20_000
+#: Shuffle buckets of a source at least, so that a source with a third of all rows is spread.
+MIN_BUCKETS = 256
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def spans(sized: DataFrame, goals: DataFrame, bucket_docs: int = BUCKET_DOCS) ->
     digits and within a bucket, so a source with a third of all rows is spread over many tasks.
     """
     count = sized.count()
-    buckets = max(16, -(-count // bucket_docs))
+    buckets = max(MIN_BUCKETS, -(-count // bucket_docs))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = sized.select("doc_id", "source", "size", key.alias("key"))
     lead = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
