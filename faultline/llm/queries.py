@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linedup, mixing, simhash
+from . import ann, decontaminate, langid, linedup, mixing, simhash
 from .common import table
 
 
@@ -30,8 +30,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_ann": op4_ann,
     "op6_line_dedup": op6_line_dedup,
     "op8_langid": op8_langid,
     "op9_mixing": op9_mixing,
