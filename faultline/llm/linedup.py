@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 WINDOW = 3
 
 
@@ -38,7 +40,7 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, gone)``: the sorted distinct line numbers (from 0) that go, for documents that lose any."""
-    met = windows(docs, window)
+    met = stash(windows(docs, window), "linedup-windows")
     first = met.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
     later = met.join(first, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("first")["doc_id"]) & (F.col("at") == F.col("first")["at"])))
     starts = later.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("starts"))
@@ -59,7 +61,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     base = docs.drop("n_lines", "n_removed", "__id", "__gone")
     # the input text gets a name of its own: inside a lambda, the output's name would win
     names, base = base.columns, base.withColumnRenamed("text", "__text")
-    met = base.join(gone, base["doc_id"].eqNullSafe(gone["__id"]), "left")
+    # hashing the short lists leaves the texts unsorted
+    met = base.join(gone.hint("shuffle_hash"), base["doc_id"].eqNullSafe(gone["__id"]), "left")
     lines = _lines(F.col("__text"))
     hit = F.filter("__gone", lambda i: i < F.size(lines))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
