@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows for the jobs run inside: texts pass to Python without large buffers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stash_texts(df: DataFrame, label: str) -> DataFrame:
+    """:func:`stash` for frames that send whole texts to Python."""
+    with small_batches(df.sparkSession):
+        return stash(df, label)
+
+
 def stash(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -68,6 +87,6 @@ def word_count(text_column) -> F.Column:
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples, a slice at a time, so that long texts do not pile up as Python objects."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            piece = batch.slice(start, 512)
+        for start in range(0, batch.num_rows, 256):
+            piece = batch.slice(start, 256)
             yield from zip(*(piece.column(name).to_pylist() for name in columns), strict=True)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import rows_of
+from .common import rows_of, stash_texts
 
 SHINGLE, OVERLAP = 5, 0.8
 K1, B, BLOCK = 1.2, 0.75, 64
@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (batch.schema.field("doc_id").type, item_type, pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "score", "overlap"])
 
-        part = narrow.mapInArrow(run, schema)
+        part = stash_texts(narrow.mapInArrow(run, schema), "decontaminate")
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import rows_of, stash_texts
 
 DIMENSIONS, GRAM, SEED, FOLDS, UNKNOWN = 1024, 3, 42, 5, "und"
 #: Letter codes: 0 a word boundary, 1-26 a-z, the rest shared by all other letters by code point.
@@ -95,6 +95,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     counted = docs.filter("lang is not null").select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = stash_texts(counted, "langid-counts")
     packed = counted.groupBy("lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("counts"))
     profiler, languages, rows = Profiler(), [], []
     for lang, grams, counts in packed.orderBy("lang").toLocalIterator():
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> Da
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, "text").mapInArrow(run, f"{fields}{', ' if fields else ''}lang_pred string, score double")
+    return stash_texts(docs.select(*kept, "text").mapInArrow(run, f"{fields}{', ' if fields else ''}lang_pred string, score double"), "langid")
 
 
 def identify(docs: DataFrame, folds: int = FOLDS, held: int = 0) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, stash, words_of
+from .common import rows_of, stash, stash_texts, words_of
 from .components import components
 
 SHINGLE_WORDS, RADIUS, SEED, _CHUNK = 3, 2, 42, 1 << 16
@@ -85,7 +85,7 @@ def near_duplicates(
     like any other; repeated rows and ids each give a row; a null id is ignored as a smallest id and is null
     only where its whole component has no other; no rows give no rows.  Other columns are not read.
     """
-    prints = stash(fingerprints(docs, id_column, text_column, shingle), "simhash")
+    prints = stash_texts(fingerprints(docs, id_column, text_column, shingle), "simhash")
     first = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     root = components(links(first.select("fp"), radius))
     rooted = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
