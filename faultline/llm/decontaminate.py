@@ -8,13 +8,13 @@ are verified by the share of the item's five-word shingles found in the passage.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,22 +26,23 @@ SHINGLE, OVERLAP = 5, 0.8
 K1, B, BLOCK = 1.2, 0.75, 64
 #: Items of one index shard, which is built on the driver and broadcast; larger benchmarks take several shards.
 SHARD_ITEMS = 20_000
-_TOKEN = re.compile(r"[^\W_]+")
+#: ASCII letters and digits, and all bytes beyond ASCII, make words; the other ASCII bytes part them.
+_PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def tokens(text: str | None) -> list[str]:
-    """Lower-cased runs of letters and digits; marks around or inside words do not hide a match."""
-    return _TOKEN.findall(text.lower()) if text else []
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-cased words; ASCII marks around or inside words do not hide a match."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_PARTS).split() if text else []
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
+def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     """Distinct five-word shingles; a shorter sequence is one shingle, an empty one has none."""
     if len(words) < SHINGLE:
         return {tuple(words)} if words else set()
     return set(zip(*(words[k:] for k in range(SHINGLE))))
 
 
-def found_share(wanted: set, words: list[str], length: int) -> float:
+def found_share(wanted: set, words: list[bytes], length: int) -> float:
     """Share of ``wanted`` shingles (of an item of ``length`` words) that occur in ``words``."""
     if not wanted:
         return 0.0
@@ -57,13 +58,14 @@ class Index:
     parts: list = field(default_factory=list)  # per item: [(shingles, words), ...], all of which must be found
     postings: dict = field(default_factory=dict)
     peak: dict = field(default_factory=dict)
+    arrays: dict = field(default_factory=dict)
     window: int = 0
 
     @classmethod
-    def build(cls, items: list[tuple], df: dict[str, int], total: int, mean: float) -> Index:
+    def build(cls, items: list[tuple], df: dict[bytes, int], total: int, mean: float) -> Index:
         """``items``: (id, question, answer); ``df``, ``total``, ``mean``: over the whole benchmark."""
         index = cls()
-        lists: dict[str, list] = {}
+        lists: dict[bytes, list] = {}
         for item, question, answer in items:
             parts = [tokens(question), tokens(answer)]
             words = parts[0] + parts[1]
@@ -84,9 +86,10 @@ class Index:
             blocks = [max(values[k : k + BLOCK]) for k in range(0, len(values), BLOCK)]
             index.postings[term] = (numbers, values, blocks)
             index.peak[term] = max(blocks)
+            index.arrays[term] = (np.array(numbers), np.array(values))
         return index
 
-    def search(self, terms: list[str]) -> list[tuple[int, float]]:
+    def search(self, terms: list[bytes]) -> list[tuple[int, float]]:
         """Items with a normalised score of 1 or more, by block-max WAND."""
         slack = 1 - 1e-9
         lists = [[*self.postings[t], self.peak[t], 0] for t in terms]
@@ -120,6 +123,13 @@ class Index:
             lists = [x for x in lists if x[4] < len(x[0])]
         return out
 
+    def may_hold(self, hits: set[bytes]) -> bool:
+        """Whether a whole text with these terms scores 1 for any item: no passage of it scores more."""
+        if len(hits) < 1 or sum(map(self.peak.__getitem__, hits)) < 1 - 1e-9:
+            return False
+        numbers, values = zip(*map(self.arrays.__getitem__, hits))
+        return bool(np.bincount(np.concatenate(numbers), np.concatenate(values)).max() >= 1 - 1e-9)
+
     def matches(self, text: str | None) -> dict[int, tuple[float, float]]:
         """Verified items of a whole text: number -> (normalised score, overlap), the best over its passages.
 
@@ -129,6 +139,8 @@ class Index:
         words = tokens(text)
         best: dict[int, tuple[float, float]] = {}
         known, peak, step = self.peak.keys(), self.peak.__getitem__, max(1, self.window)
+        if not self.may_hold(known & set(words)):
+            return best
         for start in range(0, max(1, len(words) - step), step):
             passage = words[start : start + 2 * step]
             hits = known & set(passage)
@@ -155,11 +167,11 @@ def _indexes(benchmark: DataFrame) -> Iterator[Index]:
         for batch in batches:
             rows = [(i, tokens(q) + tokens(a)) for i, q, a in rows_of([batch], "item_id", "question", "answer")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in rows], batch.schema.field("item_id").type), pa.array([len(w) for _, w in rows], pa.int64()), pa.array([sorted(set(w)) for _, w in rows], pa.list_(pa.string()))],
+                [pa.array([i for i, _ in rows], batch.schema.field("item_id").type), pa.array([len(w) for _, w in rows], pa.int64()), pa.array([sorted(set(w)) for _, w in rows], pa.list_(pa.binary()))],
                 ["item_id", "words", "terms"],
             )
 
-    split = items.mapInArrow(terms, f"item_id {kind}, words long, terms array<string>")
+    split = items.mapInArrow(terms, f"item_id {kind}, words long, terms array<binary>")
     total, mean = split.filter("words > 0").agg(F.count("*"), F.avg("words")).first()
     if not total:
         return
@@ -168,7 +180,7 @@ def _indexes(benchmark: DataFrame) -> Iterator[Index]:
     for k in range(shards):
         rows = items.filter(shard == k).select("item_id", "question", "answer").collect()
         used = split.filter(shard == k).select(F.explode("terms").alias("term")).distinct() if shards > 1 else None
-        counts = dict(map(tuple, (df.join(used, "term", "left_semi") if used is not None else df).collect()))
+        counts = dict((bytes(t), n) for t, n in (df.join(used, "term", "left_semi") if used is not None else df).collect())
         yield Index.build(sorted(map(tuple, rows), key=repr), counts, total, mean)
 
 
