@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, linedup, mixing, simhash
+from . import ann, chat, decontaminate, langid, linedup, lm, mixing, quality, simhash, toxicity
 from .common import table
 
 
@@ -34,10 +35,33 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "inline(array(struct(0L, 'user'), struct(1L, 'assistant'))) as (turn, role)"
+    probe = spark.range(1).selectExpr("-1L as conv_id", probe).withColumn("text", F.lit("</s>[INST] ok [/INST]"))
+    return chat.formatted_digest(given.unionByName(probe))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op3_chat_format": op3_chat_format,
     "op4_ann": op4_ann,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_langid": op8_langid,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
