@@ -19,7 +19,7 @@ from .common import rows_of, stash_texts
 DIMENSIONS, GRAM, SEED, FOLDS, UNKNOWN = 1024, 3, 42, 5, "und"
 #: Letter codes: 0 a word boundary, 1-26 a-z, the rest shared by all other letters by code point.
 CODES = 64
-_ROWS, _CHARS = 128, 1 << 20
+_ROWS, _CHARS, _SHORT = 128, 1 << 20, 1 << 15
 
 
 def _letter_codes() -> np.ndarray:
@@ -63,6 +63,8 @@ class Profiler:
         """Distinct n-grams of a whole text and how often each occurs; long texts a piece at a time."""
         if not text:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(text) <= _SHORT:
+            return np.unique(self.grams(text).astype(np.int32), return_counts=True)
         total: np.ndarray | None = None
         for at in range(0, len(text), _CHARS):
             got = np.bincount(self.grams(text[at : at + _CHARS]), minlength=CODES**GRAM)
