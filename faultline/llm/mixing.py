@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import small_side, stash, word_count
 
-#: Weights by the sources' order, repeating; epochs a source may give; words of a block; documents of a shuffle bucket.
-WEIGHTS, MAX_EPOCHS, BLOCK_WORDS, BUCKET_DOCS = (5, 2, 1), 3, 64, 50_000
+#: Weights by the sources' order, repeating; epochs a source may give; slots of a schedule, whatever its size;
+#: documents of a shuffle bucket.
+WEIGHTS, MAX_EPOCHS, SLOTS, BUCKET_DOCS = (5, 2, 1), 3, 1 << 20, 50_000
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which points meet shares; rows up to which the table of sources is broadcast.
 GRID, SMALL_ROWS = 1024, 20_000
@@ -59,24 +60,30 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return per.select("source", "source_size", "weight", "target", "cap", "lo", "hi", "place", "total")
 
 
-def _slots(spark, goals: DataFrame, block_words: int) -> DataFrame:
-    """``slot, place``: the source that each golden-ratio point falls to, met through a grid of cells."""
+def block_size(goals: DataFrame, slots: int = SLOTS) -> tuple[int, int]:
+    """Words of a block, and how many blocks cover the total: about ``slots``, fewer if there are fewer words."""
     total = goals.agg(F.max("total")).first()[0] or 0
+    block = max(1, -(-total // slots))
+    return block, -(-total // block)
+
+
+def _slots(spark, goals: DataFrame, count: int) -> DataFrame:
+    """``slot, place``: the source that each golden-ratio point falls to, met through a grid of cells."""
     point = F.col("slot") * F.lit(GOLDEN)
-    points = spark.range(-(-total // block_words)).select(F.col("id").alias("slot")).withColumn("point", point - F.floor(point))
+    points = spark.range(count).select(F.col("id").alias("slot")).withColumn("point", point - F.floor(point))
     cells = F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1))))
     shares = small_side(goals.filter("hi > lo").select("place", "lo", "hi", cells.alias("cell")), SMALL_ROWS)
     placed = points.withColumn("cell", F.floor(F.col("point") * GRID)).join(shares, "cell")
     return placed.filter("point >= lo and point < hi").select("slot", "place")
 
 
-def schedule(spark, goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``slot, place, rank``: which block (``rank``, from 0) of which source each slot takes.
+def schedule(spark, goals: DataFrame, count: int) -> DataFrame:
+    """``slot, place, rank``: which block (``rank``, from 0) of which source each of ``count`` slots takes.
 
-    As many slots as blocks cover the total.  The ranks of a source follow the slots.  They are counted in two
-    steps, runs of slots first, so that no source gathers in a task.
+    The ranks of a source follow the slots.  They are counted in two steps, runs of slots first, so that no
+    source gathers in a task.
     """
-    placed = _slots(spark, goals, block_words).withColumn("run", F.expr("slot div 4096"))
+    placed = _slots(spark, goals, count).withColumn("run", F.expr("slot div 4096"))
     runs = placed.groupBy("place", "run").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("place").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("place", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
@@ -84,9 +91,9 @@ def schedule(spark, goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     return placed.withColumn("within", within).join(runs, ["place", "run"]).select("slot", "place", (F.col("base") + F.col("within")).alias("rank"))
 
 
-def slot_counts(spark, goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def slot_counts(spark, goals: DataFrame, count: int) -> DataFrame:
     """``place, slots``: how many slots each source has in the schedule (all that the digest needs)."""
-    return _slots(spark, goals, block_words).groupBy("place").agg(F.count("*").alias("slots"))
+    return _slots(spark, goals, count).groupBy("place").agg(F.count("*").alias("slots"))
 
 
 def spans(sized: DataFrame, goals: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
@@ -118,7 +125,7 @@ def _taken(words: Column) -> Column:
     return whole + F.greatest(F.lit(0), F.least(rest, F.col("start") + F.col("size")) - F.col("start"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, taken``.
 
     ``taken`` counts the words that the schedule's blocks take from the document, repeats included; a source's
@@ -129,15 +136,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     spark = docs.sparkSession
     sized = stash(sizes(docs), "mix-sizes")
     goals = stash(targets(sized, weights, max_epochs), "mix-targets")
-    drawn = slot_counts(spark, goals, block_words)
-    words = F.least(F.col("cap"), F.coalesce(F.col("slots"), F.lit(0)) * block_words)
+    block, count = block_size(goals, slots)
+    drawn = slot_counts(spark, goals, count)
+    words = F.least(F.col("cap"), F.coalesce(F.col("slots"), F.lit(0)) * block)
     plan = goals.join(drawn, "place", "left").select("place", "source", "source_size", "target", words.alias("words"))
     placed = spans(sized, goals).join(small_side(plan, SMALL_ROWS), "place")
     taken = F.when(F.col("source_size") > 0, _taken(F.col("words"))).otherwise(F.lit(0))
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def stream(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def stream(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
     """The mix itself: ``slot, source, doc_id, first, words`` rows, in slot order the words to read.
 
     A slot's block ``[rank * block, (rank + 1) * block)`` of the repeated stream meets documents through the
@@ -147,9 +155,10 @@ def stream(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     sized = stash(sizes(docs), "mix-sizes")
     goals = stash(targets(sized, weights, max_epochs), "mix-targets")
     plan = small_side(goals.select("place", "source", "source_size", "cap"), SMALL_ROWS)
-    piece = 16 * block_words
-    slots = schedule(spark, goals, block_words).join(plan, "place").withColumn("at", F.col("rank") * block_words)
-    slots = slots.withColumn("length", F.least(F.lit(block_words), F.col("cap") - F.col("at"))).filter("length > 0 and source_size > 0")
+    block, count = block_size(goals, slots)
+    piece = 16 * block
+    slots = schedule(spark, goals, count).join(plan, "place").withColumn("at", F.col("rank") * block)
+    slots = slots.withColumn("length", F.least(F.lit(block), F.col("cap") - F.col("at"))).filter("length > 0 and source_size > 0")
     # a block may wrap around the end of its source, several times if the source is tiny
     laps = F.explode(F.sequence(F.expr("at div source_size"), F.expr("(at + length - 1) div source_size")))
     slots = slots.withColumn("lap", laps)

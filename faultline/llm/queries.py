@@ -111,6 +111,8 @@ WITH sized AS (
   SELECT (arg_min(rest::DOUBLE / rest_weight, (ratio, place))) AS line FROM rising WHERE rest::DOUBLE / rest_weight * weight <= cap
 ), goals AS (
   SELECT source, source_size, cap, place, total, least(cap::DOUBLE, coalesce(line * weight, cap::DOUBLE)) AS target FROM rising, level
+), block AS (
+  SELECT greatest(1, ceil(max(total) / {mixing.SLOTS}.0))::BIGINT AS block FROM goals
 ), cum AS (
   SELECT *, sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_to FROM goals
 ), shares AS (
@@ -120,10 +122,10 @@ WITH sized AS (
 ), slots AS (
   SELECT b.place, count(*) AS slots
   FROM (SELECT i * {mixing.GOLDEN}::DOUBLE - floor(i * {mixing.GOLDEN}::DOUBLE) AS point
-        FROM range((SELECT ceil(max(total) / {mixing.BLOCK_WORDS}.0)::BIGINT FROM goals)) t(i)) p
+        FROM range((SELECT ceil(max(total) / any_value(block))::BIGINT FROM goals, block)) t(i)) p
   JOIN bounds b ON p.point >= b.lo AND p.point < b.hi GROUP BY b.place
 ), words AS (
-  SELECT b.*, least(cap, coalesce(slots, 0) * {mixing.BLOCK_WORDS})::BIGINT AS words FROM bounds b LEFT JOIN slots USING (place)
+  SELECT b.*, least(cap, coalesce(slots, 0) * block)::BIGINT AS words FROM bounds b LEFT JOIN slots USING (place), block
 ), placed AS (
   SELECT doc_id, s.source, size, w.source_size, target, words,
     coalesce(sum(size) OVER (PARTITION BY place ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
