@@ -196,4 +196,7 @@ def joined(stored: DataFrame, answered: DataFrame, use: Callable[[Block, np.ndar
         counts = [unpack(x, np.int64 if len(x) == 8 * n else np.int32) for _, n, x in parts]
         return use(block, *block.counts(np.concatenate(counts)))
 
-    return stored.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
+    # as many tasks as blocks: what a task reads stays the same at any size
+    tasks = max(1, stored.count())
+    left, right = stored.repartition(tasks, "block"), answered.repartition(tasks, "block")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
