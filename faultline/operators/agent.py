@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.sizes import small_side
 from . import text as tx
 
 MIN_CONFIDENCE = 0.6
@@ -33,7 +34,7 @@ def neighbours(alarms: DataFrame, triples: DataFrame, tag: str, compat: bool = F
     tags = alarms.select(F.col(tag).alias("__tag")).distinct()
     soft = F.replace("__tag", F.lit("-"), F.lit("_"))
     inside = lambda end: F.contains(end, soft) if compat else F.contains(end, soft) | F.contains(end, F.col("__tag"))
-    met = tags.join(F.broadcast(triples), inside(F.col("subject")) | inside(F.col("object")))
+    met = tags.join(small_side(triples), inside(F.col("subject")) | inside(F.col("object")))
     sides = met.groupBy("__tag").agg(
         F.array_sort(F.collect_set(F.when(inside(F.col("object")), F.col("subject")))).alias("upstream"),
         F.array_sort(F.collect_set(F.when(inside(F.col("subject")), F.col("object")))).alias("downstream"),
@@ -51,7 +52,7 @@ def resolve(alarms: DataFrame, base: DataFrame, triples: DataFrame) -> DataFrame
     unknown = F.struct(*(F.lit(v).cast(t).alias(n) for n, v, t in zip(ENTRY, fixed.UNKNOWN_FAILURE, ("string", "int", "int", "int", "int", "double", "string", "string", "string"))))
     packed = base.groupBy("prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*ENTRY).alias("e")))), lambda x: x["e"]).alias("matched"))
     out = neighbours(alarms, triples, "tag")
-    out = out.join(F.broadcast(packed), F.substring("tag", 1, 2) == F.col("prefix"), "left").drop("prefix")
+    out = out.join(small_side(packed), F.substring("tag", 1, 2) == F.col("prefix"), "left").drop("prefix")
     out = out.withColumn("matched", F.coalesce("matched", F.array(unknown)))
     part = lambda head, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"{head}: "), F.array_join(xs, ", ")))
     context = F.concat_ws(

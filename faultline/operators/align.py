@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small_side
+
 
 def keyed(events: DataFrame, sources: DataFrame) -> DataFrame:
     """SRC-04, SRC-05: events with ``aligned_ns = ntp_ns + delay_ns`` of their source; an unknown source fails."""
-    known = F.broadcast(sources.select(F.col("source").alias("__source"), "delay_ns"))
+    known = small_side(sources.select(F.col("source").alias("__source"), "delay_ns"))
     met = events.join(known, events["source"] == known["__source"], "left")
     checked = F.when(F.col("__source").isNull(), F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce("source", F.lit("null")))).cast("long"))
     return met.withColumn("aligned_ns", checked.otherwise(F.col("ntp_ns") + F.col("delay_ns"))).drop("__source", "delay_ns")

@@ -154,7 +154,8 @@ def explanations(parts: dict[str, Column]) -> Column:
     items = F.array(*(F.struct((-F.abs(z)).alias("by"), F.lit(k).alias("k"), F.lit(name).alias("name"), z.alias("z")) for k, (name, z) in enumerate(parts.items())))
     telling = F.filter(F.array_sort(items), lambda x: F.abs(x["z"]) > 1.0)
     side = lambda x: F.when(x["z"] > 0, "high").otherwise("low")
-    return F.transform(telling, lambda x: F.format_string("%s: %s deviation (z=%.2f)", x["name"], side(x), x["z"]))
+    figure = lambda x: x["z"].cast("decimal(24,2)").cast("string")  # noqa: E731  faster than a format
+    return F.transform(telling, lambda x: F.concat(x["name"], F.lit(": "), side(x), F.lit(" deviation (z="), figure(x), F.lit(")")))
 
 
 # adaptive baseline

@@ -96,7 +96,8 @@ def components(spark, nodes: DataFrame, edges: DataFrame, max_rounds: int = 40)
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """AGG-13: ``nodes, edges``."""
-    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
+    both = nodes.agg(F.count("*").alias("nodes")).unionByName(edges.agg(F.count("*").alias("edges")), allowMissingColumns=True)
+    return both.agg(F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"))
 
 
 def context_text(found: DataFrame, nodes: DataFrame, max_depth: int = 3) -> DataFrame:

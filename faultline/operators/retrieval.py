@@ -9,20 +9,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small_side
 from .text import tokens
 
 K1, B, TOP, RRF_K = 1.5, 0.75, 50, 60
+#: Queries that an exact vector search takes at once, which bounds what it broadcasts.
+QUERY_LIMIT = 10_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """RET-01, TXT-09: ``key, term, tf, dl``: term counts and the length of each document."""
-    words = docs.select(key, tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
-    return words.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _listed(docs, key, text, None)
+
+
+def _listed(docs: DataFrame, key: str, text: str, words: DataFrame | None) -> DataFrame:
+    """:func:`postings`, of some words only: the others go before they are counted."""
+    split = docs.select(key, tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
+    each = split.select(key, "dl", F.explode("terms").alias("term"))
+    each = each.join(small_side(words), "term", "left_semi") if words is not None else each
+    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     """AGG-12: one row ``n_docs, avgdl``."""
-    return docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return docs.select(F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def _top(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -39,7 +49,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = TOP,
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = asked.select("term").distinct()
-    listed = postings(docs, key, text).join(words, "term", "left_semi")
+    listed = _listed(docs, key, text, words)
     total, mean = corpus_stats(docs, text).first()
     df = listed.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.0), F.log((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -57,11 +67,13 @@ def dot(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = TOP) -> DataFrame:
     """RET-03: exact search by dot product of a stated query set ``(query_id, query_vector)``; scores over 0 only.
 
-    Queries are packed into blocks that every vector meets, so a vector's row is not copied per query before
-    it is scored; the best ``k`` of each task are kept before the shuffle (a grouped limit).
+    The queries, ``QUERY_LIMIT`` at most, are one broadcast block that every vector meets, so a vector's row is
+    not shuffled before it is scored; the best ``k`` of each task are kept before the shuffle (a grouped limit).
     """
-    block = queries.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("qs"))
-    met = vectors.select(key, F.col(vector).alias("__v")).join(F.broadcast(block))
+    if queries.limit(QUERY_LIMIT + 1).count() > QUERY_LIMIT:
+        raise ValueError(f"exact search takes up to {QUERY_LIMIT} queries at a time; use an index for more")
+    blocks = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("qs")))
+    met = blocks.join(vectors.select(key, F.col(vector).alias("__v")))
     each = met.select(key, "__v", F.inline("qs"))
     scored = each.select("query_id", key, dot(F.col("__v"), F.col("query_vector")).alias("score")).filter("score > 0")
     return _top(scored, key, k).select("query_id", key, "score", "rank0")

@@ -67,4 +67,4 @@ def refusal_examples(spark: SparkSession) -> DataFrame:
 def unknown_assets(rows: DataFrame, kind: str, column: str, spark: SparkSession) -> DataFrame:
     """Data-quality rows: names in ``column`` that the asset dictionary lacks."""
     known = asset_tags(spark).filter(F.col("kind") == kind).select(F.col("name").alias(column))
-    return rows.select(column).distinct().join(F.broadcast(known), column, "left_anti")
+    return rows.select(column).distinct().join(F.broadcast(known), column, "left_anti")  # the dictionary is fixed
