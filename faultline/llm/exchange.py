@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import rows_of, stash, stash_texts, words_of
 
 #: Tokens after which a block ends; entries that a shard is meant to hold.
-BLOCK_TOKENS, SHARD_ENTRIES = 2_000_000, 2_000_000
+BLOCK_TOKENS, SHARD_ENTRIES = 1_000_000, 1_000_000
 END = b"\n"  # the end of a text: no word can hold a line feed
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
