@@ -205,7 +205,17 @@ def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_terms"))
 
 
-@query()
+_EMPTY = text.few_shot(2).replace("'", "''")
+_READ = "'{0}PT-301{1}1.5' || chr(10) || '{0}TE-301{1}' || severity::DOUBLE || chr(10)"
+
+
+@query(
+    f"""WITH p AS ({PARTS}) SELECT key,
+  '{fixed.REFUSAL_SYSTEM.replace("'", "''")}' || chr(10) || '---' || chr(10) || '{_EMPTY}' || chr(10) || '---' || chr(10) || '## Current Situation' || chr(10) || 'Alarm tag: ' || tag || chr(10) || 'Current PLC readings:' || chr(10) || {_READ.format("  ", " = ")}
+  || chr(10) || '## Retrieved FMEA Knowledge' || chr(10) || cause || chr(10) || chr(10) || '## Your Diagnostic Report (JSON format, with [Source:] citations)' || chr(10) AS refusal,
+  '{fixed.TOPOLOGY_PREAMBLE.replace("'", "''")}' || '## Column Topology (relevant neighbors)' || chr(10) || '- (a) --[b]--> (c)' || chr(10) || chr(10) || 'Upstream equipment: ' || system || chr(10) || chr(10) || '## Current PLC Readings' || chr(10) || {_READ.format("- ", ": ")}
+  || chr(10) || '## Retrieved FMEA Knowledge (MUST cite sources)' || chr(10) || cause || '{fixed.TOPOLOGY_INSTRUCTIONS.replace("'", "''")}' AS topology FROM p"""
+)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-20: refusal and topology prompts of each part's tag."""
     rows = parts(spark, sf_dir)

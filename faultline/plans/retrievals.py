@@ -66,13 +66,26 @@ def rrf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, condition=F.col("lang") == "en")
 
 
-@query()
+PRE_BM25 = BM25.replace("FROM documents)", "FROM documents WHERE lang = 'en')", 1)
+
+
+@query(
+    f"""WITH {PRE_BM25}, {DENSE}, kept AS (SELECT dense.* FROM dense JOIN documents USING (doc_id) WHERE lang = 'en'), {FUSED.replace("FROM dense", "FROM kept")}
+SELECT query_id, doc_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank0 FROM f QUALIFY rank0 < 10"""
+)
 def rrf_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-05, with the condition before the search."""
     return _hybrid(spark, sf_dir, condition=F.col("lang") == "en", prefilter=True)
 
 
-@query()
+WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
+
+
+@query(
+    f"""WITH {BM25}, r AS (SELECT sparse.query_id, sparse.doc_id, rank0, {WORDS.format("b.text")} AS a, {WORDS.format("d.text")} AS t FROM sparse JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = sparse.query_id WHERE rank0 < 20),
+o AS (SELECT query_id, doc_id, rank0, len(list_intersect(a, t)) / len(a)::DOUBLE AS s FROM r)
+SELECT query_id, doc_id, round(s, 6) AS rerank_score FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank0, doc_id) <= 5"""
+)
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-08, with the lexical scorer."""
     hits = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", asked(spark, sf_dir))
@@ -80,12 +93,12 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(texts, "doc_id", "query", "text").select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@query()
+@query("SELECT item_id, length(t) - length(replace(t, 'a', '')) AS a, length(t) - length(replace(t, 'u', '')) AS u FROM (SELECT item_id, 'query: ' || text AS t FROM benchmark)")
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET-09, with a hook that counts letters."""
+    """RET-09, with a hook that counts vowels."""
     def letters(texts):
         return texts.map(lambda t: [float((t or "").count(c)) for c in "aeiou"])
-    return retrieval.embed(table(spark, sf_dir, "benchmark"), "text", letters, prefix="query: ").select("item_id", "embedding")
+    return retrieval.embed(table(spark, sf_dir, "benchmark"), "text", letters, prefix="query: ").select("item_id", F.get("embedding", F.lit(0)).cast("long").alias("a"), F.get("embedding", F.lit(4)).cast("long").alias("u"))
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'")

@@ -77,12 +77,27 @@ def kalman2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.two_stage(events(spark, sf_dir), "user_id", ORDER, "value").select("event_id", F.round("x", 6).alias("x"))
 
 
-@query()
+STAGES = """CASE WHEN user_id % 2 = 0 THEN 1e-4::DOUBLE ELSE 1e-5 END AS q1, CASE WHEN user_id % 2 = 0 THEN 1e-2::DOUBLE ELSE 1e-3 END AS r1,
+  CASE WHEN user_id % 2 = 0 THEN 1e-6::DOUBLE ELSE 1e-5 END AS q2, CASE WHEN user_id % 2 = 0 THEN 5e-3::DOUBLE ELSE 1e-2 END AS r2"""
+_c0, _d0 = kalman_step("0::DOUBLE", "1::DOUBLE", "z", "q1", "r1")
+_c1, _d1 = kalman_step("k.x", "k.p", "s.z", "s.q1", "s.r1")
+_e0, _f0 = kalman_step("0::DOUBLE", "1::DOUBLE", "x", "q2", "r2")
+_e1, _f1 = kalman_step("c.x2", "c.p2", "k.x", "k.q2", "k.r2")
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT *, {STAGES} FROM ({SEQ})), k AS (
+  SELECT user_id, event_id, n, q2, r2, {_c0} AS x, {_d0} AS p FROM s WHERE n = 1
+  UNION ALL SELECT s.user_id, s.event_id, s.n, s.q2, s.r2, {_c1}, {_d1} FROM k JOIN s ON s.user_id = k.user_id AND s.n = k.n + 1),
+c AS (SELECT user_id, event_id, n, {_e0} AS x2, {_f0} AS p2 FROM k WHERE n = 1
+  UNION ALL SELECT k.user_id, k.event_id, k.n, {_e1}, {_f1} FROM c JOIN k ON k.user_id = c.user_id AND k.n = c.n + 1)
+SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'pressure' ELSE 'flow' END AS class, x2::FLOAT AS x FROM c"""
+)
 def kalman_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-14: stage settings by a tag's class (here user_id mod 2)."""
     rows = events(spark, sf_dir).withColumn("class", F.when(F.col("user_id") % 2 == 0, "pressure").otherwise("flow"))
     out = filters.two_stage_by_class(rows, "user_id", ORDER, "value", "class", {"pressure": {"first": (1e-4, 1e-2, 1.0)}, "flow": {"second": (1e-5, 1e-2, 1.0)}})
-    return out.select("event_id", "class", F.round("x", 6).alias("x"))
+    return out.select("event_id", "class", F.col("x").cast("float").alias("x"))
 
 
 @query(
@@ -111,11 +126,32 @@ def anneal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.round(filters.weight(F.col("value"), 17.78279410038923), 6).alias("weight"))
 
 
-@query()
+def _annealed(k: int) -> str:
+    """SQL for the weight of a squared residual ``chi2`` at step ``k`` of the schedule."""
+    beta = repr(rec.annealing_schedule()[k])
+    inside, outside = f"exp(-least(chi2 / (2 * {beta}::DOUBLE), 50))", f"exp(-least(-2 * ln(0.001::DOUBLE) / (2 * {beta}::DOUBLE), 50))"
+    return f"{inside} / ({inside} + {outside})"
+
+
+def _anneal_step(rows: str) -> str:
+    """SQL for one step over ``rows`` with columns ``x0, ahead, z`` beside the ids."""
+    weights = ", ".join(f"{_annealed(k)} AS w{k + 1}" for k in range(4))
+    settled = "CASE WHEN abs(w1 - 1) < 1e-3 THEN w1 WHEN abs(w2 - w1) < 1e-3 THEN w2 WHEN abs(w3 - w2) < 1e-3 THEN w3 ELSE w4 END"
+    gain = "ahead * w / (ahead * w + 400)"
+    return f"""SELECT user_id, event_id, n, x0 + {gain} * (z - x0) AS x, (1 - {gain}) * ahead AS p, w FROM (SELECT *, {settled} AS w FROM (SELECT *, {weights} FROM (SELECT *, (z - x0) * (z - x0) / (ahead + 400) AS chi2 FROM ({rows}))))"""
+
+
+@query(
+    f"""WITH RECURSIVE s AS ({SEQ}), k AS (
+  {_anneal_step("SELECT *, 0::DOUBLE AS x0, 10001::DOUBLE AS ahead FROM s WHERE n = 1")}
+  UNION ALL
+  {_anneal_step("SELECT s.*, k.x AS x0, k.p + 1 AS ahead FROM k JOIN s ON s.user_id = k.user_id AND s.n = k.n + 1")})
+SELECT event_id, x::FLOAT AS x, w::FLOAT AS weight, w < 0.1 AS outlier FROM k"""
+)
 def daf_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-08 to FLT-10."""
     out = filters.annealed(events(spark, sf_dir), "user_id", ORDER, "value", q=1.0, r=400.0, p0=1e4)
-    return out.select("event_id", F.round("x", 6).alias("x"), F.round("weight", 6).alias("weight"), (F.col("outlier") > 0).alias("outlier"))
+    return out.select("event_id", F.col("x").cast("float").alias("x"), F.col("weight").cast("float").alias("weight"), (F.col("outlier") > 0).alias("outlier"))
 
 
 @query(
@@ -235,7 +271,11 @@ def align_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.bundles(aligned(spark, sf_dir), ["line"], "aligned_ns", "source", 5, 7_200_000_000_000)
 
 
-@query()
+@query(
+    f"""{BUNDLES.replace("WITH e AS", "WITH RECURSIVE e AS")}, g AS (SELECT line, min(aligned_ns) AS at_ns FROM b GROUP BY line
+  UNION ALL SELECT g.line, (SELECT min(b.aligned_ns) FROM b WHERE b.line = g.line AND b.aligned_ns > g.at_ns + 7200000000000) FROM g WHERE g.at_ns IS NOT NULL)
+SELECT b.* FROM b JOIN g ON g.line = b.line AND g.at_ns = b.aligned_ns"""
+)
 def align_bundles_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALN-01, bundles that do not overlap."""
     return align.bundles(aligned(spark, sf_dir), ["line"], "aligned_ns", "source", 5, 7_200_000_000_000, non_overlapping=True)
@@ -520,12 +560,21 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     smooth = filters.two_stage(events(spark, sf_dir), "user_id", ORDER, "value").select("user_id", "ts", "event_id", "x")
     scored = features.baseline(smooth, "user_id", ORDER, "x", min_window=20)
     severity = F.least(F.floor(F.abs("z")), F.lit(4)).cast("int")
-    routed = scored.select("event_id", F.round("x", 6).alias("x"), F.round("z", 5).alias("z"), (F.col("user_id") % 50).cast("int").alias("device_type"), (F.col("event_id") % 2000).cast("int").alias("sensor_id"), severity.alias("severity"))
+    routed = scored.select("event_id", F.col("x").cast("float").alias("x"), F.col("z").cast("float").alias("z"), (F.col("user_id") % 50).cast("int").alias("device_type"), (F.col("event_id") % 2000).cast("int").alias("sensor_id"), severity.alias("severity"))
     rules = spark.createDataFrame([(1, 3, None, None, False), (2, 3, 101, 0, True)], safety.RULES)
     return safety.guard(routed, rules)
 
 
-@query()
+@query(
+    f"""{KALMAN}, c AS (
+  SELECT user_id, event_id, n, {_a0} AS x2, {_b0} AS p2 FROM k WHERE n = 1
+  UNION ALL SELECT k.user_id, k.event_id, k.n, {_a1}, {_b1} FROM c JOIN k ON k.user_id = c.user_id AND k.n = c.n + 1),
+w AS (SELECT user_id, event_id, n, x2, x2 AS m, 1::DOUBLE AS v FROM c WHERE n = 1
+  UNION ALL SELECT c.user_id, c.event_id, c.n, c.x2, 0.05::DOUBLE * c.x2 + 0.95::DOUBLE * w.m, 0.05::DOUBLE * (c.x2 - w.m) * (c.x2 - w.m) + 0.95::DOUBLE * w.v FROM w JOIN c ON c.user_id = w.user_id AND c.n = w.n + 1),
+z AS (SELECT event_id, x2, CASE WHEN n >= 20 THEN (x2 - m) / sqrt(v) ELSE 0 END AS z, (user_id % 50)::INT AS device_type, (event_id % 2000)::INT AS sensor_id FROM w),
+y AS (SELECT *, least(floor(abs(z)), 4)::INT AS severity, NOT (device_type = 3 AND NOT (sensor_id = 101 AND least(floor(abs(z)), 4) = 0)) AS allowed FROM z)
+SELECT event_id, x2::FLOAT AS x, z::FLOAT AS z, device_type, sensor_id, severity, allowed, CASE WHEN NOT allowed THEN 'block' WHEN severity <= 0 THEN 'pass' ELSE 'llm' END AS route FROM y"""
+)
 def alarm_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship over its whole table."""
     return flagship(spark, sf_dir)
