@@ -126,6 +126,54 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, _PACK_DDL)
 
 
+_TOKENS = "pack string, tokens array<int>, position_ids array<int>, loss_mask array<boolean>, nodes array<struct<parent: int, start: bigint, stop: bigint, attends: array<struct<start: bigint, stop: bigint>>>>, conversations array<struct<conv_id: bigint, leaf: int>>"
+
+
+def token_packs(packs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Packs in token units: ``pack, tokens, position_ids, loss_mask, nodes, conversations``.
+
+    ``tokenizer_path`` is a tokenizer file in JSON, read by Spark (so any store will do) and sent to the tasks; its
+    size is that of one vocabulary.  Every node is tokenized by itself, so a shared turn has the same tokens under
+    all of its continuations.  A token is under the loss if it covers a character of an assistant text.
+    """
+    spark = packs.sparkSession
+    model = spark.read.text(tokenizer_path, wholetext=True).first()[0]
+    sent = spark.sparkContext.broadcast(model)
+    names = ["pack", "tokens", "position_ids", "loss_mask", "nodes", "conversations"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(sent.value)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+        node_type = pa.struct([("parent", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("attends", pa.list_(span))])
+        kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(node_type), pa.list_(_MEMBER))
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                tokens, positions, mask, nodes = [], [], [], []
+                coded = tokenizer.encode_batch([row["text"][n["start"] : n["stop"]] for n in row["nodes"]], add_special_tokens=False)
+                for node, code in zip(row["nodes"], coded):
+                    above = nodes[node["parent"]] if node["parent"] >= 0 else None
+                    first = above["first"] + above["stop"] - above["start"] if above else 0
+                    start, stop = len(tokens), len(tokens) + len(code.ids)
+                    lo, hi = node["loss_start"] - node["start"], node["loss_stop"] - node["start"]
+                    attends = [*above["attends"]] if above else []
+                    if attends and attends[-1]["stop"] == start:
+                        attends[-1] = {"start": attends[-1]["start"], "stop": stop}
+                    else:
+                        attends.append({"start": start, "stop": stop})
+                    tokens += code.ids
+                    positions += range(first, first + len(code.ids))
+                    mask += [lo < hi and a < hi and b > lo for a, b in code.offsets]
+                    nodes.append({"parent": node["parent"], "start": start, "stop": stop, "attends": attends, "first": first})
+                plain = [{k: n[k] for k in ("parent", "start", "stop", "attends")} for n in nodes]
+                data = [[row["pack"]], [tokens], [positions], [mask], [plain], [row["conversations"]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, kinds, strict=True)], names)
+
+    return packs.select("pack", "text", "nodes", "conversations").mapInArrow(run, _TOKENS)
+
+
 def read_back(packs: DataFrame) -> DataFrame:
     """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` from packs alone.
 

@@ -2,6 +2,7 @@
 
 import random
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from faultline.llm import ann, chat, decontaminate, linedup, mixing, simhash, toxicity
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
 # chat
 
 
@@ -88,6 +92,27 @@ def test_packs_are_prefix_trees(spark):
     assert sum(len(p.conversations) for p in packs) == len(convs)
 
 
+@pytest.mark.skipif(not Path(TOKENIZER).exists(), reason="needs a tokenizer file")
+def test_token_packs(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, convs = Tokenizer.from_file(TOKENIZER), talks()
+    packs = chat.token_packs(chat.format_conversations(table_of(spark, convs)), TOKENIZER).collect()
+    seen = set()
+    for pack in packs:
+        assert len(pack.tokens) == len(pack.position_ids) == len(pack.loss_mask) == (pack.nodes[-1].stop if pack.nodes else 0)
+        for member in pack.conversations:
+            at = [i for a in pack.nodes[member.leaf].attends for i in range(a.start, a.stop)]
+            assert [pack.position_ids[i] for i in at] == list(range(len(at)))
+            turns = convs[member.conv_id]
+            assert tokenizer.decode([pack.tokens[i] for i in at], skip_special_tokens=False) == "".join(chat.render(r, t)[0] for r, t in turns)
+            taught = tokenizer.decode([pack.tokens[i] for i in at if pack.loss_mask[i]], skip_special_tokens=False)
+            assert all(chat.escape(t) in taught for r, t in turns if r == "assistant")
+            assert any(pack.loss_mask[i] for i in at) == any(r == "assistant" and t for r, t in turns)
+            seen.add(member.conv_id)
+    assert seen == set(convs)
+
+
 def test_nulls_ties_and_no_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (None, None, None, None), (2, None, "assistant", "first"), (2, 0, "user", "then")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
