@@ -78,7 +78,12 @@ def components(spark, nodes: DataFrame, edges: DataFrame, max_rounds: int = 40)
     Every round joins labels to edges once and jumps to the label's label; labels are checkpointed to the
     configured folder, and rounds end when no label changes.
     """
-    reliable = spark.conf.get("spark.checkpoint.dir", None) is not None
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    reliable = spark.sparkContext.getCheckpointDir() is not None
+    if not reliable and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
     labels = nodes.select("node_id", F.col("node_id").alias("component"))
     for _ in range(max_rounds):

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import recurrences as rec
-from ..operators import align, features, filters, quantize, simulate, transforms
+from ..operators import align, features, filters, quantize, segments, simulate, transforms
 from ..session import table
-from .registry import query
+from .registry import ORACLES, query
 
 ORDER = ("ts", "event_id")
 
@@ -31,6 +31,10 @@ def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def week() -> Column:
+    return F.floor(micros() / F.lit(604_800_000_000))
+
+
 SEQ = "SELECT user_id, event_id, value AS z, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
 
 
@@ -198,6 +202,20 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("lower").cast("float").alias("lower"), F.col("upper").cast("float").alias("upper"))
 
 
+@query(f"""{EWMA} SELECT event_id, m::FLOAT AS mean, v::FLOAT AS variance, (CASE WHEN n >= 20 THEN (z - m) / sqrt(v) ELSE 0 END)::FLOAT AS z FROM k""")
+def ewma_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-02, WIN-03, cut into weeks, for tags too long for one task."""
+    out = segments.baseline(events(spark, sf_dir), "user_id", ORDER, "value", week(), min_window=20)
+    return out.select("event_id", *(F.col(c).cast("float").alias(c) for c in ("mean", "variance", "z")))
+
+
+@query(ORACLES["kalman2"].replace("round(x2, 6)", "x2::FLOAT"))
+def kalman_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-04, FLT-06, cut into weeks, for tags too long for one task."""
+    out = segments.two_stage(events(spark, sf_dir), "user_id", ORDER, "value", week())
+    return out.select("event_id", F.col("x").cast("float").alias("x"))
+
+
 @query(
     """WITH st AS (SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_pop(value) AS sd FROM events GROUP BY event_type),
 g AS (SELECT *, k, (lo - (hi - lo) * 0.1::DOUBLE) + k * ((hi + (hi - lo) * 0.1::DOUBLE) - (lo - (hi - lo) * 0.1::DOUBLE)) / 99.0::DOUBLE AS x, sd * pow(n::DOUBLE, -0.2::DOUBLE) AS bw FROM st, (SELECT unnest(range(100))::INT AS k))

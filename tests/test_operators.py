@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import fixed
 from faultline.functions import recurrences as rec
-from faultline.operators import agent, align, datasets, features, filters, graph, quantize, retrieval, safety, scan, simulate, text, transforms
+from faultline.operators import agent, align, datasets, features, filters, graph, quantize, retrieval, safety, scan, segments, simulate, text, transforms
 from faultline.plans import signals
 from faultline.sources import readers, writers
 from faultline.streaming import processors
@@ -60,6 +60,21 @@ def test_overrides_by_class(spark):
     assert last[0] != pytest.approx(last[1], rel=0.05)
 
 
+def test_segments_equal_the_scan(spark):
+    df = readings(spark, 400, 2).union(spark.createDataFrame([(9, i, float(i % 7)) for i in range(3)], "tag int, seq int, value double"))
+    cut = F.floor(F.col("seq") / 37)
+    got = {(t, i): x for t, i, x in rows(segments.two_stage(df, "tag", ["seq"], "value", cut), "tag", "seq", "x")}
+    want = {(t, i): x for t, i, x in rows(filters.two_stage(df, "tag", ["seq"], "value"), "tag", "seq", "x")}
+    assert len(got) == 803 and got == pytest.approx(want)
+    names = ("mean", "variance", "z", "upper")
+    got = {(t, i): tuple(x) for t, i, *x in rows(segments.baseline(df, "tag", ["seq"], "value", cut, min_window=5), "tag", "seq", *names)}
+    want = {(t, i): tuple(x) for t, i, *x in rows(features.baseline(df, "tag", ["seq"], "value", min_window=5), "tag", "seq", *names)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    places = rows(segments.numbered(df, "tag", ["seq"], cut), "tag", "seq", segments.PLACE)
+    assert all(n == i + 1 for _, i, n in places)
+    assert segments.two_stage(df.filter("false"), "tag", ["seq"], "value", cut).count() == 0
+
+
 # alignment
 
 
