@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import recurrences as rec
+from ..functions.sizes import small_side
 from .scan import scan
 
 #: Feature groups, in column order, and the tags whose rolling statistics are taken.
@@ -175,13 +176,13 @@ def density(df: DataFrame, key: str, value: str, points: int = 100, least: int =
     rows = df.select(F.col(key), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v) and abs(v) < double('infinity')")
     stats = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_pop("v").alias("sd"))
     pad = (F.col("hi") - F.col("lo")) * 0.1
-    grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    few = F.col("n") < least
-    at = F.when(few, F.col("point") / F.lit(float(points - 1))).otherwise((F.col("lo") - pad) + F.col("point") * ((F.col("hi") + pad) - (F.col("lo") - pad)) / F.lit(float(points - 1)))
-    grid = grid.withColumn("x", at).withColumn("bw", F.nullif("sd", F.lit(0.0)) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    stats = stats.withColumn("bw", F.nullif("sd", F.lit(0.0)) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     counted = rows.groupBy(key, "v").agg(F.count("*").alias("c"))
-    met = grid.join(counted, key)
-    sums = met.groupBy(key, "point").agg(F.first("x").alias("x"), F.first("n").alias("n"), F.first("bw").alias("bw"), F.sum(F.col("c") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("v")) / F.col("bw"), F.lit(2.0)))).alias("s"))
+    # the grid is spread per value and summed before the shuffle, so a key with most values is no hot spot
+    met = counted.join(small_side(stats), key).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    at = F.when(F.col("n") < least, F.col("point") / F.lit(float(points - 1))).otherwise((F.col("lo") - pad) + F.col("point") * ((F.col("hi") + pad) - (F.col("lo") - pad)) / F.lit(float(points - 1)))
+    met = met.withColumn("x", at)
+    sums = met.groupBy(key, "point", "x", "n", "bw").agg(F.sum(F.col("c") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("v")) / F.col("bw"), F.lit(2.0)))).alias("s"))
     dens = F.col("s") / (F.col("n") * F.col("bw") * F.sqrt(F.lit(2.0 * 3.141592653589793)))
     return sums.select(key, "point", "x", F.when(F.col("n") < least, F.lit(1.0)).otherwise(dens).alias("density"))
 

@@ -13,22 +13,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bucket(value: Column) -> Column:
+    """Order-preserving buckets: each spans about 1.6 % of a value's size, so it has few distinct FLOATs."""
+    return F.floor(F.asinh(value.cast("double") * 1e6) * 64)
+
+
 def dictionary(df: DataFrame, keys: Sequence[str], value: str, nbits: int = 8) -> DataFrame:
     """CMP-01, CMP-02, CMP-07: ``keys, value, code, centre, cnt`` for each distinct value (as FLOAT).
 
-    Gap ties cut at the larger value.  ``cnt`` counts the rows of the cluster.
+    Gap ties cut at the larger value.  ``cnt`` counts the rows of the cluster.  A key's values are never gathered:
+    neighbours and running counts are taken within buckets of close values, and carried from bucket to bucket by
+    a table with a row per bucket; of each task's gaps, only as many as there can be cuts are kept.
     """
     if not 2 <= nbits <= 16:
         raise ValueError("nbits must lie in 2..16")
-    distinct = df.select(*keys, F.col(value).cast("float").alias("value")).filter("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    by_value = Window.partitionBy(*keys).orderBy("value")
-    gap = distinct.withColumn("gap", F.col("value") - F.lag("value").over(by_value))
-    by_gap = Window.partitionBy(*keys).orderBy(F.col("gap").desc_nulls_last(), F.col("value").desc())
-    cut = gap.withColumn("cut", F.col("gap").isNotNull() & (F.row_number().over(by_gap) <= (1 << nbits) - 1))
-    coded = cut.withColumn("code", F.sum(F.col("cut").cast("int")).over(by_value.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    cluster = Window.partitionBy(*keys, "code")
-    centre = ((F.min("value").over(cluster) + F.max("value").over(cluster)) / F.lit(2.0).cast("float")).cast("float")
-    return coded.select(*keys, "value", "code", centre.alias("centre"), F.sum("n").over(cluster).alias("cnt"))
+    # a struct of the keys: equal where the keys are, null ones included
+    values = df.select(F.struct(F.lit(0).alias("_"), *keys).alias("__k"), F.col(value).cast("float").alias("value")).filter("value is not null")
+    distinct = values.groupBy("__k", "value").agg(F.count("*").alias("n")).withColumn("__b", _bucket(F.col("value")))
+    inside, along = Window.partitionBy("__k", "__b").orderBy("value"), Window.partitionBy("__k").orderBy("__b")
+    ends = distinct.groupBy("__k", "__b").agg(F.max("value").alias("__top")).withColumn("__below", F.lag("__top").over(along)).drop("__top")
+    near = distinct.join(ends, ["__k", "__b"]).withColumn("gap", F.col("value") - F.coalesce(F.lag("value").over(inside), F.col("__below")))
+    by_gap = Window.partitionBy("__k").orderBy(F.col("gap").desc(), F.col("value").desc())
+    cuts = near.filter("gap is not null").withColumn("__r", F.row_number().over(by_gap)).filter(F.col("__r") <= (1 << nbits) - 1)
+    per = cuts.groupBy("__k", "__b").agg(F.sort_array(F.collect_list("value")).alias("__cuts"))
+    before = F.coalesce(F.sum(F.size("__cuts")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = ends.select("__k", "__b").join(per, ["__k", "__b"], "left").withColumn("__cuts", F.coalesce("__cuts", F.array().cast("array<float>"))).withColumn("__before", before)
+    running = F.sum(F.array_contains("__cuts", F.col("value")).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    coded = distinct.join(bounds, ["__k", "__b"]).withColumn("code", (F.col("__before") + running).cast("int")).select("__k", "value", "code", "n")
+    clusters = coded.groupBy("__k", "code").agg(((F.min("value") + F.max("value")) / F.lit(2.0).cast("float")).cast("float").alias("centre"), F.sum("n").alias("cnt"))
+    out = coded.join(clusters, ["__k", "code"])
+    return out.select(*(F.col("__k")[k].alias(k) for k in keys), "value", "code", "centre", "cnt")
 
 
 def encode(df: DataFrame, keys: Sequence[str], value: str, nbits: int = 8) -> DataFrame:
