@@ -118,3 +118,35 @@ def baseline(df: DataFrame, key: str, order: Sequence[str], value: str, bucket:
     z = F.when(F.col(PLACE) >= min_window, (v - F.col("mean")) / std).otherwise(0.0)
     made = {"z": z, "flag": (F.abs(z) > sigmas).cast("double"), "lower": F.col("mean") - sigmas * std, "upper": F.col("mean") + sigmas * std}
     return rows.withColumns(made).drop(BUCKET, PLACE, "mean_before", "variance_before")
+
+
+def trailing(df: DataFrame, key: str, order: Sequence[str], bucket: Column, window: int, made: dict[str, Column], segment: int = 100_000) -> DataFrame:
+    """``df`` plus aggregates ``made`` over each row and the ``window - 1`` before it, for keys of any length.
+
+    Rows are cut into segments by position; the rows before a segment that its frames reach into are copied to
+    it, so frames are whole and no key is sorted in one task.
+    """
+    if segment < window:
+        raise ValueError("a segment must hold a window")
+    rows = numbered(df, key, order, bucket)
+    part, place = F.floor((F.col(PLACE) - 1) / segment), (F.col(PLACE) - 1) % segment
+    parts = F.when(place >= segment - (window - 1), F.array(part, part + 1)).otherwise(F.array(part)) if window > 1 else F.array(part)
+    spread = rows.withColumn("__own", part).withColumn("__part", F.explode(parts))
+    frame = Window.partitionBy(key, "__part").orderBy(PLACE).rowsBetween(-(window - 1), 0)
+    out = spread.withColumns({name: f.over(frame) for name, f in made.items()})
+    return out.filter("__own = __part").drop("__own", "__part", BUCKET)
+
+
+def rolling(df: DataFrame, key: str, order: Sequence[str], value: str, name: str, bucket: Column, window: int = 60, segment: int = 100_000) -> DataFrame:
+    """WIN-01 over segments: adds ``{name}_rolling_mean`` and ``_std`` as :func:`features.rolling` does."""
+    x = F.col(value).cast("double")
+    made = {f"{name}_rolling_mean": F.avg(x), f"{name}_rolling_std": F.stddev_pop(x)}
+    rows = trailing(df, key, order, bucket, window, made, segment)
+    # what short series and the first rows take: a row per key
+    whole = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows"), F.avg(x).alias("__mean"), F.stddev_pop(x).alias("__std"))
+    lead = rows.filter(F.col(PLACE) == window).select(F.col(key).alias("__lead"), *(F.col(c).alias(f"__{c}") for c in made))
+    rest = whole.join(lead, F.col("__key").eqNullSafe(F.col("__lead")), "left").drop("__lead")
+    met = rows.join(rest, F.col(key).eqNullSafe(F.col("__key")))
+    short, first = F.col("__rows") < window, F.col(PLACE) < window
+    filled = {c: F.when(short, F.col(g)).when(first, F.col(f"__{c}")).otherwise(F.col(c)) for c, g in zip(made, ("__mean", "__std"))}
+    return met.withColumns(filled).select(*df.columns, *made)

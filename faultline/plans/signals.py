@@ -241,6 +241,13 @@ def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("value_rolling_mean").cast("float").alias("mean"), F.col("value_rolling_std").cast("float").alias("std"))
 
 
+@query(ORACLES["rolling_stats"])
+def rolling_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-01, cut into segments, for tags too long for one task."""
+    out = segments.rolling(events(spark, sf_dir), "user_id", list(ORDER), "value", "value", week())
+    return out.select("event_id", F.col("value_rolling_mean").cast("float").alias("mean"), F.col("value_rolling_std").cast("float").alias("std"))
+
+
 @query("SELECT event_id, (avg(value) OVER w)::FLOAT AS window_mean, count(value) OVER w AS window_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 10079 PRECEDING)")
 def window_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-05."""

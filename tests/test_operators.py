@@ -70,6 +70,10 @@ def test_segments_equal_the_scan(spark):
     got = {(t, i): tuple(x) for t, i, *x in rows(segments.baseline(df, "tag", ["seq"], "value", cut, min_window=5), "tag", "seq", *names)}
     want = {(t, i): tuple(x) for t, i, *x in rows(features.baseline(df, "tag", ["seq"], "value", min_window=5), "tag", "seq", *names)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    sides = ("v_rolling_mean", "v_rolling_std")
+    got = {(t, i): tuple(x) for t, i, *x in rows(segments.rolling(df, "tag", ["seq"], "value", "v", cut, 10, 25), "tag", "seq", *sides)}
+    want = {(t, i): tuple(x) for t, i, *x in rows(features.rolling(df, ["tag"], ["seq"], "value", "v", 10), "tag", "seq", *sides)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     places = rows(segments.numbered(df, "tag", ["seq"], cut), "tag", "seq", segments.PLACE)
     assert all(n == i + 1 for _, i, n in places)
     assert segments.two_stage(df.filter("false"), "tag", ["seq"], "value", cut).count() == 0
