@@ -27,6 +27,11 @@ def dictionary(df: DataFrame, keys: Sequence[str], value: str, nbits: int = 8) -
     """
     if not 2 <= nbits <= 16:
         raise ValueError("nbits must lie in 2..16")
+    return _coded(df, keys, value, nbits).drop("n")
+
+
+def _coded(df: DataFrame, keys: Sequence[str], value: str, nbits: int) -> DataFrame:
+    """:func:`dictionary`, with the rows ``n`` of each value."""
     # a struct of the keys: equal where the keys are, null ones included
     values = df.select(F.struct(F.lit(0).alias("_"), *keys).alias("__k"), F.col(value).cast("float").alias("value")).filter("value is not null")
     distinct = values.groupBy("__k", "value").agg(F.count("*").alias("n")).withColumn("__b", _bucket(F.col("value")))
@@ -42,7 +47,7 @@ def dictionary(df: DataFrame, keys: Sequence[str], value: str, nbits: int = 8) -
     coded = distinct.join(bounds, ["__k", "__b"]).withColumn("code", (F.col("__before") + running).cast("int")).select("__k", "value", "code", "n")
     clusters = coded.groupBy("__k", "code").agg(((F.min("value") + F.max("value")) / F.lit(2.0).cast("float")).cast("float").alias("centre"), F.sum("n").alias("cnt"))
     out = coded.join(clusters, ["__k", "code"])
-    return out.select(*(F.col("__k")[k].alias(k) for k in keys), "value", "code", "centre", "cnt")
+    return out.select(*(F.col("__k")[k].alias(k) for k in keys), "value", "n", "code", "centre", "cnt")
 
 
 def encode(df: DataFrame, keys: Sequence[str], value: str, nbits: int = 8) -> DataFrame:
@@ -56,10 +61,7 @@ def encode(df: DataFrame, keys: Sequence[str], value: str, nbits: int = 8) -> Da
 
 def statistics(df: DataFrame, keys: Sequence[str], value: str, nbits: int = 8) -> DataFrame:
     """CMP-03, AGG-03: per key ``n, clusters, rms_error, stored_bytes, ratio``."""
-    coded = dictionary(df, keys, value, nbits)
-    weight = F.count("*")
-    pairs = df.select(*keys, F.col(value).cast("float").alias("value")).filter("value is not null").groupBy(*keys, "value").agg(weight.alias("n"))
-    met = pairs.join(coded, [*keys, "value"]) if keys else pairs.join(coded, "value")
+    met = _coded(df, keys, value, nbits)
     off = F.col("value").cast("double") - F.col("centre").cast("double")
     per = met.groupBy(*keys).agg(F.sum("n").alias("n"), F.countDistinct("code").alias("clusters"), F.sqrt(F.sum(F.col("n") * off * off) / F.sum("n")).alias("rms_error"))
     return per.withColumn("stored_bytes", stored_bytes(F.col("n"), F.col("clusters"), nbits)).withColumn("ratio", F.col("stored_bytes") / (F.col("n") * 4))
