@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import graph, retrieval
 from ..session import table
 from .registry import query
@@ -189,7 +190,20 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("components"))
 
 
-@query()
+_LINES = "string_agg('    - ' || tag || ' [S=' || sev || '] (' || system || ')', chr(10) ORDER BY depth, tag, system) FILTER (kind = '{0}')"
+_BLOCKS = " || ".join(f"coalesce(chr(10) || chr(10) || '  {label}:' || chr(10) || {_LINES.format(kind)}, '')" for kind, label in fixed.CAUSAL_LABELS)
+
+
+@query(
+    f"""WITH RECURSIVE {ROWS}, w AS (SELECT DISTINCT src, dst FROM b),
+s AS (SELECT node AS seed, node, 0 AS depth FROM n WHERE node LIKE 'sensor|%' UNION SELECT s.seed, w.dst, s.depth + 1 FROM s JOIN w ON w.src = s.node WHERE s.depth < 3),
+f AS (SELECT seed, node, min(depth) AS depth FROM s WHERE node <> seed GROUP BY ALL),
+o AS (SELECT id, severity, 'sensor|' || tag || '|' || system AS node FROM m UNION ALL SELECT id, severity, 'failure_mode|' || fm || '|' || system FROM m UNION ALL SELECT id, severity, 'root_cause|' || root_cause || '|' || system FROM m WHERE root_cause <> ''
+  UNION ALL SELECT id, severity, 'mitigation|' || mitigation || '|' || system FROM m WHERE root_cause <> '' AND mitigation IS NOT NULL),
+v AS (SELECT node, arg_min(severity, id) AS sev FROM o GROUP BY node),
+x AS (SELECT seed, depth, sev, split_part(node, '|', 1) AS kind, split_part(node, '|', 2) AS tag, split_part(node, '|', 3) AS system FROM f JOIN v USING (node))
+SELECT split_part(seed, '|', 2) AS seed_tag, '[FMEA Bilinks Causal Retrieval] Seed, BFS depth <= 3:' || {_BLOCKS} AS context FROM x GROUP BY seed"""
+)
 def causal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-21, AGG-05."""
     nodes, edges = built(spark, sf_dir)
