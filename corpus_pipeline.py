@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, linedup, mixing, simhash, toxicity
+from faultline.llm import decontaminate, linedup, mixing, nearcopies, toxicity
 from faultline.llm.common import stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each near-duplicate group."""
-    return simhash.keep_one_per_group(docs.select(*COLUMNS))
+    """The row with the smallest id of each group of near copies: Jaccard similarity 0.8 or more on five-word shingles."""
+    return nearcopies.keep_one_per_group(docs.select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
