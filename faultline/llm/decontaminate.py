@@ -73,7 +73,7 @@ class Index:
                 continue
             norm = K1 * (1 - B + B * len(words) / mean)
             impact = {t: log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(words).items()}
-            may_miss = sum(int((1 - OVERLAP) * max(1, len(p) - SHINGLE + 1)) for p in parts if p)
+            may_miss = sum(int((1 - OVERLAP) * max(1, len(p) - SHINGLE + 1) + 1e-9) for p in parts if p)  # 1 - 0.8 is below 0.2
             least = sum(sorted(impact.values(), reverse=True)[may_miss:]) or max(impact.values()) * 1e-9
             number = len(index.ids)
             index.ids.append(item)

@@ -218,6 +218,18 @@ def test_leaks_equal_brute_force(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in want if d is not None}
 
 
+def test_leaks_at_exactly_the_overlap(spark):
+    """Items of 5, 10 and 15 shingles whose first or last fifth is replaced: 0.8 is a leak."""
+    items, docs = [], []
+    for k, n in enumerate((9, 14, 19)):
+        words, lost = [f"i{k}w{j}" for j in range(n)], (n - 4) // 5
+        items.append((k, " ".join(words)))
+        docs += [(10 * k, " ".join(["x"] * lost + words[lost:])), (10 * k + 1, " ".join(words[:-lost] + ["x"] * lost)), (10 * k + 2, " ".join(words[lost + 1 :]))]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.overlap for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(10 * k + j, k): 0.8 for k in range(3) for j in range(2)}
+
+
 def test_many_index_shards_find_the_same(spark, monkeypatch):
     items, docs = bench_corpus()
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
