@@ -18,6 +18,8 @@ WEIGHTS, MAX_EPOCHS, SLOTS, BUCKET_DOCS = (5, 2, 1), 3, 1 << 20, 50_000
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which points meet shares; rows up to which the table of sources is broadcast.
 GRID, SMALL_ROWS = 1024, 20_000
+#: Blocks below which a source's target is taken to the word, as slots alone would miss it or overshoot.
+NEAR_BLOCKS = 256
 #: Shuffle buckets of a source at least, so that a source with a third of all rows is spread.
 MIN_BUCKETS = 256
 
@@ -118,6 +120,19 @@ def spans(sized: DataFrame, goals: DataFrame, bucket_docs: int = BUCKET_DOCS) ->
     return rows.join(sums, ["place", "bucket"]).select("doc_id", "size", "place", (F.col("base") + F.col("within")).alias("start"))
 
 
+def _plan(spark, goals: DataFrame, slots: int | None) -> tuple[DataFrame, int, int]:
+    """``goals`` with ``slots`` (drawn), ``words`` (of all its slots) and ``exact``, the words of a block and the number of slots.
+
+    ``slots`` None takes ``SLOTS`` and, where a block has several words, gives a source of under ``NEAR_BLOCKS``
+    blocks exactly its rounded target; a number takes equal blocks only.
+    """
+    block, count = block_size(goals, SLOTS if slots is None else slots)
+    exact = F.col("target") < F.lit(NEAR_BLOCKS * block if slots is None and block > 1 else 0)
+    drawn = goals.join(slot_counts(spark, goals, count), "place", "left").withColumns({"slots": F.coalesce("slots", F.lit(0)), "exact": exact})
+    words = F.when(F.col("exact"), F.round("target").cast("long")).otherwise(F.col("slots") * block)
+    return drawn.withColumn("words", F.least("cap", words)), block, count
+
+
 def _taken(words: Column) -> Column:
     """Words of ``[start, start + size)`` that the first ``words`` words of the repeated source stream cover."""
     whole = F.expr("words div source_size") * F.col("size")
@@ -125,27 +140,24 @@ def _taken(words: Column) -> Column:
     return whole + F.greatest(F.lit(0), F.least(rest, F.col("start") + F.col("size")) - F.col("start"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, taken``.
 
     ``taken`` counts the words that the schedule's blocks take from the document, repeats included; a source's
-    last block is cut at its cap, so no document exceeds ``max_epochs`` times its size.  Null text has size 0;
+    last block is cut at its cap, and small sources take their rounded target (see :func:`_plan`), so no document exceeds ``max_epochs`` times its size.  Null text has size 0;
     a null source is a source of its own, last; repeated rows are documents of their own; empty sources have
     target 0; no rows give no rows.  Reruns agree: the order depends on ids alone.
     """
     spark = docs.sparkSession
     sized = stash(sizes(docs), "mix-sizes")
     goals = stash(targets(sized, weights, max_epochs), "mix-targets")
-    block, count = block_size(goals, slots)
-    drawn = slot_counts(spark, goals, count)
-    words = F.least(F.col("cap"), F.coalesce(F.col("slots"), F.lit(0)) * block)
-    plan = goals.join(drawn, "place", "left").select("place", "source", "source_size", "target", words.alias("words"))
+    plan = _plan(spark, goals, slots)[0].select("place", "source", "source_size", "target", "words")
     placed = spans(sized, goals).join(small_side(plan, SMALL_ROWS), "place")
     taken = F.when(F.col("source_size") > 0, _taken(F.col("words"))).otherwise(F.lit(0))
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def stream(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
+def stream(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int | None = None) -> DataFrame:
     """The mix itself: ``slot, source, doc_id, first, words`` rows, in slot order the words to read.
 
     A slot's block ``[rank * block, (rank + 1) * block)`` of the repeated stream meets documents through the
@@ -154,11 +166,14 @@ def stream(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     spark = docs.sparkSession
     sized = stash(sizes(docs), "mix-sizes")
     goals = stash(targets(sized, weights, max_epochs), "mix-targets")
-    plan = small_side(goals.select("place", "source", "source_size", "cap"), SMALL_ROWS)
-    block, count = block_size(goals, slots)
+    plan, block, count = _plan(spark, goals, slots)
     piece = 16 * block
-    slots = schedule(spark, goals, count).join(plan, "place").withColumn("at", F.col("rank") * block)
-    slots = slots.withColumn("length", F.least(F.lit(block), F.col("cap") - F.col("at"))).filter("length > 0 and source_size > 0")
+    # an exact source that no slot fell to has one of its own, where its share lies
+    missed = plan.filter("exact and slots = 0").select(F.floor(F.col("lo") * count).alias("slot"), "place", F.lit(0).cast("long").alias("rank"))
+    plan = small_side(plan.select("place", "source", "source_size", "words", "exact", F.greatest("slots", F.lit(1)).alias("slots")), SMALL_ROWS)
+    slots = schedule(spark, goals, count).select("slot", "place", "rank").union(missed).join(plan, "place")
+    share = lambda rank: F.when(F.col("exact"), F.floor(rank * F.col("words") / F.col("slots"))).otherwise(F.least("words", rank * block))
+    slots = slots.withColumn("at", share(F.col("rank"))).withColumn("length", share(F.col("rank") + 1) - F.col("at")).filter("length > 0 and source_size > 0")
     # a block may wrap around the end of its source, several times if the source is tiny
     laps = F.explode(F.sequence(F.expr("at div source_size"), F.expr("(at + length - 1) div source_size")))
     slots = slots.withColumn("lap", laps)

@@ -240,6 +240,21 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(5, 0.01 * mine[0].target)
 
 
+def test_small_sources_take_their_targets_whatever_the_block(spark, monkeypatch):
+    """Few slots, so that a block is longer than the targets of the small sources."""
+    monkeypatch.setattr(mixing, "SLOTS", 60)
+    docs = mix_corpus() + [(1000 + k, "w " * (3 + 40 * k), f"small{k}") for k in range(8)]
+    df = frame(spark, [(i, t) for i, t, _ in docs], [s for _, _, s in docs])
+    got = mixing.mix(df).collect()
+    for source in {r.source for r in got}:
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5
+    per = {}
+    for r in mixing.stream(df).collect():
+        per[r.doc_id] = per.get(r.doc_id, 0) + r.words
+    assert per == {r.doc_id: r.taken for r in got if r.taken}
+
+
 def test_mix_repeats_and_no_rows(spark):
     twice = frame(spark, [(1, "a b"), (1, "a b"), (None, "c")])
     assert [r.taken for r in mixing.mix(twice).orderBy("size", "taken").collect()] == [1, 2, 2]
