@@ -2,7 +2,7 @@
 
 The model mixes maximum-likelihood bigram and unigram estimates with a uniform floor.  The mixture weights depend
 on the bucket of the context's frequency; expectation-maximisation learns them on held-out events: each position of
-a sample of blocks, with the counts of its own document deleted.
+every block, with the counts of its own document deleted.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .exchange import BLOCK_TOKENS, Block, answers, blocks, joined, totals
 
 FOLDS, HELD = 7, 2
-#: Buckets of the context frequency (powers of two); blocks whose positions the weights are learned on; EM steps;
+#: Buckets of the context frequency (powers of two); EM steps;
 #: grid steps per power of two on which events are counted for EM.
-BUCKETS, EM_BLOCKS, EM_STEPS, GRID = 40, 8, 60, 4
+BUCKETS, EM_STEPS, GRID = 40, 60, 4
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -105,9 +105,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held: int = HELD, block_token
     stored = blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold != held).alias("learned"), "text"), block_tokens)
     answered = answers(stored)
     distinct, total = totals(answered)
-    picked = [r[0] for r in stored.select("block").orderBy(F.xxhash64("block")).limit(EM_BLOCKS).collect()]
-    sample = F.col("block").isin(picked) if picked else F.lit(False)
-    cells = joined(stored.filter(sample), answered.filter(sample), lambda b, w, p: events(b, w, p, total), "bucket long, p2 long, p1 long, n long")
+    cells = joined(stored, answered, lambda b, w, p: events(b, w, p, total), "bucket long, p2 long, p1 long, n long")
     cells = cells.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(np.array([tuple(r) for r in cells], np.int64).reshape(-1, 4), 1 / (distinct + 1))
     return joined(stored, answered, lambda b, w, p: scores(b, w, p, total, distinct, weights), _SCORES)

@@ -124,6 +124,13 @@ def test_scores_do_not_depend_on_blocks(spark):
         assert got[0][i] == pytest.approx(want)
 
 
+def test_weights_are_learned_on_all_blocks(spark):
+    """Many blocks and one block give the same scores, as every event counts."""
+    df = spark.createDataFrame(lm_corpus(), "doc_id long, text string")
+    got = [{r.doc_id: r.score for r in lm.lm_scores(df, block_tokens=n).collect()} for n in (100, 10**9)]
+    assert got[0] == pytest.approx(got[1])
+
+
 def test_model_is_a_distribution(spark):
     """Over every known word, the end and one unknown word, the mixture sums to 1 after any seen context."""
     uni = {b"a": 5, b"b": 3, b"\n": 2}
