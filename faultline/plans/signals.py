@@ -319,12 +319,24 @@ def pool_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.pool_depth(events(spark, sf_dir).withColumnRenamed("event_type", "source"), "source")
 
 
+def window_pairs(readings: DataFrame, n: int = 40) -> DataFrame:
+    """Each window of ``n`` values of a user beside the next, ``key (user_id, window), a, b``; the last may be shorter.
+
+    A user with one window has a row whose ``b`` is null.
+    """
+    place = F.row_number().over(filters.Window.partitionBy("user_id").orderBy(*ORDER)) - 1
+    rows = readings.withColumn("place", place).withColumn("window", F.floor(F.col("place") / n))
+    held = rows.groupBy("user_id", "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda e: e["value"]).alias("a"))
+    pairs = held.withColumn("b", F.lead("a").over(filters.Window.partitionBy("user_id").orderBy("window")))
+    return pairs.filter("b is not null or window = 0").select("user_id", "window", "a", "b")
+
+
 @query()
 def dtw_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ALN-05 to ALN-07: the first 40 values of each user against the next 40 of the same user, in a band."""
-    held = events(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda e: e["value"]).alias("v"))
-    pairs = held.filter(F.size("v") >= 50).select("user_id", F.slice("v", 1, 40).alias("a"), F.slice("v", 41, 40).alias("b"))
-    return align.dtw(pairs, "user_id", "a", "b", window=10).select("user_id", F.round("distance", 4).alias("distance"), F.round("lag_mean", 6).alias("lag_mean"), F.round("lag_std", 6).alias("lag_std"), "steps")
+    """ALN-05 to ALN-07: each window of 40 values of a user against the next, over the whole history, in a band; null where there is no next."""
+    pairs = window_pairs(events(spark, sf_dir)).withColumn("key", F.concat_ws("/", "user_id", "window"))
+    met = align.dtw(pairs.filter("b is not null"), "key", "a", "b", window=10).select("key", F.round("distance", 4).alias("distance"), F.round("lag_mean", 6).alias("lag_mean"), F.round("lag_std", 6).alias("lag_std"), "steps")
+    return pairs.select("user_id", "window", "key").join(met, "key", "left").drop("key")
 
 
 @query(
