@@ -106,15 +106,18 @@ def denoise_array(x: np.ndarray, wavelet: str = "db4", level: int = 3, method: s
     return recompose(cut, wavelet)[: len(x)]
 
 
-def denoise(df: DataFrame, signal: str, settings: dict[str, tuple[str, int, str]] | None = None, class_column: str | None = None, wavelet: str = "db4", level: int = 2, method: str = "universal", mode: str = "soft") -> DataFrame:
-    """WAV-07, WAV-08: replaces an ARRAY<DOUBLE> column by its denoised values, with settings by signal class."""
+def denoise(df: DataFrame, signal: str, settings: dict[str, tuple[str, int, str]] | None = None, class_column: str | None = None, wavelet: str = "db4", level: int = 2, method: str = "universal", mode: str = "soft", clip: bool = False) -> DataFrame:
+    """WAV-07, WAV-08: replaces an ARRAY<DOUBLE> column by its denoised values, with settings by signal class.
+
+    With ``clip``, a signal too short for its level takes the deepest one that its length allows; at 0 it is as it was.
+    """
     settings = settings or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             classes = pdf[class_column] if class_column else [None] * len(pdf)
             chosen = [settings.get(c, (wavelet, level, method)) for c in classes]
-            pdf[signal] = [denoise_array(x, w, n, m, mode).tolist() for x, (w, n, m) in zip(pdf[signal], chosen)]
+            pdf[signal] = [denoise_array(x, w, min(n, max_level(len(x), w)) if clip else n, m, mode).tolist() for x, (w, n, m) in zip(pdf[signal], chosen)]
             yield pdf
 
     return df.withColumn(signal, F.col(signal).cast("array<double>")).mapInPandas(run, df.withColumn(signal, F.col(signal).cast("array<double>")).schema)

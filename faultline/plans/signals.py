@@ -500,17 +500,23 @@ def physics_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str, n: int = 256) -> DataFrame:
-    """Blocks of ``n`` values per event type, in order, full blocks only."""
+    """Blocks of ``n`` values per event type, in order; a shorter rest is joined to the block before it, if there is one."""
+    return blocks(events(spark, sf_dir), n)
+
+
+def blocks(readings: DataFrame, n: int) -> DataFrame:
     place = F.row_number().over(filters.Window.partitionBy("event_type").orderBy(*ORDER)) - 1
-    rows = events(spark, sf_dir).withColumn("place", place).withColumn("block", F.floor(F.col("place") / n))
+    counts = readings.groupBy("event_type").agg(F.greatest(F.floor(F.count("*") / n) - 1, F.lit(0)).alias("last")).withColumnRenamed("event_type", "__type")
+    rows = readings.withColumn("place", place).join(counts, F.col("event_type").eqNullSafe(F.col("__type")))
+    rows = rows.withColumn("block", F.least(F.floor(F.col("place") / n), F.col("last")))
     held = rows.groupBy("event_type", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda e: e["value"]).alias("signal"))
-    return held.filter(F.size("signal") == n).withColumn("name", F.concat_ws("/", "event_type", "block"))
+    return held.withColumn("name", F.concat_ws("/", "event_type", "block"))
 
 
 @query()
 def wavelet_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WAV-01 to WAV-07."""
-    out = transforms.denoise(series(spark, sf_dir), "signal", level=3)
+    out = transforms.denoise(series(spark, sf_dir), "signal", level=3, clip=True)
     return out.select("event_type", "block", F.transform("signal", lambda x: F.round(x, 6)).alias("signal"))
 
 
@@ -519,7 +525,7 @@ def wavelet_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WAV-08: settings by signal class."""
     kinds = F.create_map(*(F.lit(x) for pair in (("click", "pressure"), ("view", "flow"), ("signup", "temperature"), ("purchase", "valve")) for x in pair))
     rows = series(spark, sf_dir).withColumn("class", F.try_element_at(kinds, F.col("event_type")))
-    out = transforms.denoise(rows, "signal", fixed.WAVELET_CLASSES, "class")
+    out = transforms.denoise(rows, "signal", fixed.WAVELET_CLASSES, "class", clip=True)
     return out.select("event_type", "block", F.transform("signal", lambda x: F.round(x, 6)).alias("signal"))
 
 

@@ -1,8 +1,10 @@
 """Signal queries cover every row."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from faultline.operators import align
+from faultline.operators import align, transforms
 from faultline.plans import signals
 
 
@@ -23,3 +25,15 @@ def test_windows_cover_whole_histories(spark, tmp_path):
         if u != 3:
             distance, path = align.warp(values[u][40 * w : 40 * w + 40], values[u][40 * w + 40 : 40 * w + 80], 10)
             assert (r.distance, r.steps) == (round(distance, 4), len(path))
+
+
+def test_blocks_cover_every_event(spark, tmp_path):
+    rows = write_events(spark, tmp_path, {(1, "click"): 256 * 2 + 9, (1, "view"): 100, (1, "temperature"): 3, (1, "signup"): 512})
+    kinds = Counter(k for _, _, k, _ in rows)
+    for query in (signals.wavelet_denoise, signals.wavelet_by_class):
+        got = query(spark, str(tmp_path)).collect()
+        assert {k: sum(len(r.signal) for r in got if r.event_type == k) for k in kinds} == kinds
+        assert sorted(len(r.signal) for r in got if r.event_type == "click") == [256, 265]
+    got = {r.name for r in signals.scalogram(spark, str(tmp_path)).collect()}
+    assert got == {"click/0", "click/1", "view/0", "temperature/0", "signup/0", "signup/1"}
+    assert transforms.max_level(3, "db4") == 0
