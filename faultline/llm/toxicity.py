@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings; those are kept that tell on their own: in the labelled sample, the lower bound of the share of toxic
-examples among those that hold the term exceeds ``TELLING`` (``TELLING_BEGINNING`` for a beginning).  Examples and documents are TF-IDF vectors over these
-terms; a document's nearest examples vote with class weight times squared cosine.  Documents without such a term
-have no direction; they get the share of toxic examples among the labelled ones without a direction.
+Terms are all words of the texts.  A term weighs its inverse document frequency in the labelled sample times how well
+it tells toxic examples from others (``FLOOR`` for words that do not tell, so none is left out): a text's few telling
+words are not drowned by hundreds of others, and texts without one still have a direction and neighbours.  The
+nearest examples vote with class weight times squared cosine; a logistic curve, fitted on labelled documents that
+are not in the index, turns votes into probabilities.
 """
 
 from __future__ import annotations
@@ -11,23 +12,23 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rows_of, stash, stash_texts
 
-#: Labelled examples taken of each class (smallest hash of the id first): the documented bound of the fit.
-EXAMPLES = 4000
+#: Labelled examples taken of each class (smallest hash of the id first), and characters of their texts: the documented bounds of the fit.
+EXAMPLES, EXAMPLE_CHARS = 4000, 1 << 25
 NEIGHBOURS, FOLDS, HELD, REJECT = 15, 3, 1, 0.7
-TELLING, TELLING_BEGINNING, MIN_SHARE, MIN_EXAMPLES, SMOOTH, BLOCK, CACHE = 0.5, 0.8, 0.0025, 4, 0.25, 64, 50_000
-#: Normal quantile of the lower bound: wide, because a great many terms are tried.
-SURE = 2.5
-#: Lengths of the beginnings of a word that are terms beside the word.
-BEGINNINGS = (4, 5, 6, 7)
+#: Weight of a word that does not tell classes apart; normal quantile of the bound by which words tell, wide because a great many are tried.
+FLOOR, SURE = 0.1, 2.5
+#: Examples of a block; examples above which the postings of a word that does not tell are read last, if at all.
+BLOCK, COMMON = 64, 128
+#: Votes of the prior beside the neighbours'; one in so many sampled labels calibrates; strength of the curve's pull to the identity.
+SMOOTH, CALIBRATE, PULL = 0.05, 5, 1.0
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -35,166 +36,231 @@ def words(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def forms(word: str) -> list[str]:
-    """The terms of a word: itself, and its beginnings, marked, by which inflected forms meet."""
-    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if k < len(word))]
+def term_weights(hits: np.ndarray, n: np.ndarray, every: float, base: float) -> np.ndarray:
+    """Inverse document frequency times relevance, of terms in ``n`` (weighted) examples of ``every``, ``hits`` of them toxic.
 
+    Relevance is how far the lower bound of a term's toxic share lies above the ``base`` share, from ``FLOOR`` to 1.
+    """
+    share, z2 = hits / n, SURE**2
+    lower = (share + z2 / (2 * n) - SURE * np.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return np.log((every + 1) / (n + 1)) * np.maximum(FLOOR, (lower - base) / max(1 - base, 1e-9))
+
+
+def fit_curve(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve over the votes' logits, pulled to (1, 0) where rows are few; by Newton's method."""
+    x, theta = logit(votes), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(theta[0] * x + theta[1])))
+        slope = np.array([np.sum(weight * (p - toxic) * x), np.sum(weight * (p - toxic))]) + PULL * (theta - np.array([1.0, 0.0]))
+        v = weight * p * (1 - p)
+        bend = np.array([[np.sum(v * x * x), np.sum(v * x)], [np.sum(v * x), np.sum(v)]]) + PULL * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        theta = theta - step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(theta[0]), 0.0), float(theta[1])
 
-def counted(text: str | None, wanted: frozenset[str] | None = None, known: dict[str, list[str]] | None = None) -> dict[str, int]:
-    """Counts of a whole text's terms, all or the wanted ones; ``known`` remembers the terms of words seen."""
-    known, out = {} if known is None else known, Counter()
-    for word, n in Counter(words(text)).items():
-        got = known.get(word)
-        if got is None:
-            got = [t for t in forms(word) if wanted is None or t in wanted]
-            if len(known) < CACHE:
-                known[word] = got
-        for t in got:
-            out[t] += n
-    return out
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples with a direction, as postings by term in blocks of ``BLOCK`` examples."""
-
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], weights: tuple[float, float]) -> None:
-        """``examples``: (doc_id, toxic, counts of telling terms); ``weights``: of an example of class 0 and 1."""
-        self.weights = weights
-        df: dict[str, float] = {}
-        for _, toxic, counts in examples:
-            for t in counts:
-                df[t] = df.get(t, 0.0) + weights[toxic]
-        every = sum(weights[toxic] for _, toxic, _ in examples)
-        self.idf = {t: log((every + 1) / (n + 1)) + 1 for t, n in df.items()}
-        aimed = sorted((d, y, c) for d, y, c in examples if c)
-        self.ids = [d for d, _, _ in aimed]
-        self.labels = [y for _, y, _ in aimed]
-        idle = [weights[y] * y for _, y, c in examples if not c], [weights[y] for _, y, c in examples if not c]
-        self.base = sum(weights[y] * y for _, y, _ in examples) / every if every else 0.0
-        self.idle = (sum(idle[0]) + self.base) / (sum(idle[1]) + 1)
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for number, (_, _, counts) in enumerate(aimed):
-            for t, x in self.vector(counts).items():
-                lists.setdefault(t, []).append((number, x))
-        blocks = -(-len(aimed) // BLOCK)
-        self.postings, self.peaks = {}, {}
-        for t, got in lists.items():
-            numbers, values = np.array([n for n, _ in got]), np.array([x for _, x in got])
-            cuts = np.searchsorted(numbers, np.arange(blocks + 1) * BLOCK)
-            peak = np.zeros(blocks)
-            np.maximum.at(peak, numbers // BLOCK, values)
-            self.postings[t], self.peaks[t] = (numbers, values, cuts), peak
-        self.cache: dict[tuple, list[tuple[int, float]]] = {}
-
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        raw = {t: (1 + log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = sqrt(sum(x * x for x in raw.values())) or 1.0
-        return {t: x / norm for t, x in raw.items()}
-
-    def nearest(self, counts: dict[str, int], k: int = NEIGHBOURS) -> list[tuple[int, float]]:
-        """The ``k`` examples of largest cosine over 0, ties to the smaller id; exact.
-
-        Blocks are scored in order of their bounds and skipped once they cannot hold a better example.
+    """Unit TF-IDF vectors of the examples, as postings by term in example order, with the peaks of common terms by block.
+
+    Examples are put in the order of their most frequent word, so that blocks hold texts of a kind and their bounds are tight.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: list[str], example: np.ndarray, code: np.ndarray, counts: np.ndarray, weights: tuple[float, float]) -> None:
+        """Example ``k`` is document ``ids[k]``; posting ``j`` says that it holds ``terms[code[j]]`` ``counts[j]`` times.
+
+        ``weights``: how many labelled documents an example of class 0 and of class 1 stands for.
+        """
+        self.weights, self.curve = weights, (1.0, 0.0)
+        mass = np.where(labels == 1, weights[1], weights[0])
+        every, toxic = float(mass.sum()), float(mass[labels == 1].sum())
+        self.base = toxic / every if every else 0.0
+        n = np.bincount(code, weights=mass[example], minlength=len(terms))
+        hits = np.bincount(code, weights=(mass * (labels == 1))[example], minlength=len(terms))
+        self.weight = term_weights(hits, np.maximum(n, 1e-9), every, self.base)
+        self.code = {t: k for k, t in enumerate(terms)}
+        values = (1 + np.log(counts)) * self.weight[code]
+        norms = np.sqrt(np.bincount(example, weights=values * values, minlength=len(ids)))
+        idle = norms <= 0
+        self.idle = (float(mass[idle & (labels == 1)].sum()) + self.base) / (float(mass[idle].sum()) + 1)
+        values = values / np.where(norms > 0, norms, 1)[example]
+        # most frequent word of each example, the more common one where several are
+        order = np.lexsort((-n[code], -counts, example))
+        firsts = np.full(len(ids), -1, np.int64)
+        firsts[example[order][::-1]] = code[order][::-1]
+        rank = np.lexsort((ids, firsts))
+        place = np.empty(len(ids), np.int64)
+        place[rank] = np.arange(len(ids))
+        self.ids, self.labels = ids[rank], labels[rank]
+        numbers = place[example]
+        order = np.lexsort((numbers, code))
+        order = order[values[order] > 0]
+        self.numbers, self.values = numbers[order].astype(np.int32), values[order]
+        self.cuts = np.searchsorted(code[order], np.arange(len(terms) + 1))
+        blocks = -(-len(ids) // BLOCK)
+        plain = self.weight <= FLOOR * np.log((every + 1) / (np.maximum(n, 1e-9) + 1)) + 1e-12
+        common = np.flatnonzero((np.diff(self.cuts) > COMMON) & plain)
+        self.row = np.full(len(terms), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.peaks = np.zeros((len(common), blocks))
+        for k, t in enumerate(common.tolist()):
+            part = slice(self.cuts[t], self.cuts[t + 1])
+            np.maximum.at(self.peaks[k], self.numbers[part] // BLOCK, self.values[part])
+        # where a common term's postings of each block begin
+        starts = [self.cuts[t] + np.searchsorted(self.numbers[self.cuts[t] : self.cuts[t + 1]], np.arange(blocks + 1) * BLOCK) for t in common.tolist()]
+        self.starts = np.array(starts, np.int64).reshape(len(common), blocks + 1)
+
+    def ready(self) -> Index:
+        """Widens the postings' numbers once per worker, as ``np.bincount`` takes them without a copy."""
+        self.numbers = self.numbers.astype(np.intp, copy=False)
+        return self
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Term codes and unit weights of a whole text."""
+        counts = Counter(words(text))
+        known = [(k, n) for k, n in zip(map(self.code.get, counts), counts.values()) if k is not None]
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        codes, n = np.array([k for k, _ in known], np.int64), np.array([n for _, n in known], np.float64)
+        x = (1 + np.log(n)) * self.weight[codes]
+        norm = float(np.sqrt(np.sum(x * x)))
+        return (codes, x / norm) if norm > 0 else (codes[:0], x[:0])
+
+    def _add(self, scores: np.ndarray | None, lo: np.ndarray, hi: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        pieces = list(zip(lo.tolist(), hi.tolist()))
+        if not pieces:
+            return np.zeros(len(self.ids)) if scores is None else scores
+        numbers = np.concatenate([self.numbers[a:b] for a, b in pieces])
+        values = np.concatenate([self.values[a:b] for a, b in pieces])
+        values *= np.repeat(weights, hi - lo)
+        got = np.bincount(numbers, weights=values, minlength=len(self.ids))
+        return got if scores is None else scores + got
+
+    def nearest(self, text: str | None, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
+        """Numbers and cosines of the ``k`` examples of largest cosine over 0, ties (to nine digits) to the smaller id; exact.
+
+        Rare and telling terms come first.  A block is alive if its best score so far and the bound on its common terms reach the
+        ``k``-th best score so far; only the postings between the first and the last block alive are read then.
         """
-        query = self.vector(counts)
-        if not query:
+        codes, x = self.vector(text)
+        size = len(self.ids)
+        if not len(codes) or not size:
             return []
-        key = tuple(sorted(counts.items()))
-        if key in self.cache:
-            return self.cache[key]
-        bounds = sum(x * self.peaks[t] for t, x in query.items())
-        best: list[tuple[float, int]] = []  # (-cosine, number), sorted
-        for block in np.lexsort((np.arange(len(bounds)), -np.round(bounds, 9))).tolist():
-            bound = float(bounds[block]) + 1e-9
-            if bound <= 1e-9 or len(best) >= k and (bound < -best[-1][0] or bound < -best[-1][0] + 2e-9 and block * BLOCK > best[-1][1]):
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in query.items():
-                numbers, values, cuts = self.postings[t]
-                part = slice(cuts[block], cuts[block + 1])
-                scores[numbers[part] - block * BLOCK] += x * values[part]
-            scores = np.round(scores, 9)
-            best = sorted(best + [(-s, block * BLOCK + n) for n, s in enumerate(scores.tolist()) if s > 0])[:k]
-        found = [(n, -s) for s, n in best]
-        if len(self.cache) < CACHE:
-            self.cache[key] = found
-        return found
-
-    def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[int, float, int]]]:
-        """Calibrated score and evidence (example id, cosine, label), the nearest first."""
-        found = self.nearest(counts)
+        rows = self.row[codes]
+        late = rows >= 0
+        early = ~late
+        scores = self._add(None, self.cuts[codes[early]], self.cuts[codes[early] + 1], x[early])
+        if late.any():
+            rows, y = rows[late], x[late]
+            least = float(np.partition(scores, size - k)[size - k]) if size > k else 0.0
+            reach = np.maximum.reduceat(scores, np.arange(0, size, BLOCK)) + y @ self.peaks[rows]
+            alive = np.flatnonzero(reach >= least - 1e-9)
+            lo, hi = self.starts[rows, alive[0]], self.starts[rows, alive[-1] + 1]
+            scores = self._add(scores, lo, hi, y)
+        scores = np.round(scores, 9)
+        least = max(float(np.partition(scores, size - k)[size - k]) if size > k else 0.0, 1e-9)
+        found = np.flatnonzero(scores >= least)
+        found = found[np.lexsort((self.ids[found], -scores[found]))][:k]
+        return list(zip(found.tolist(), scores[found].tolist()))
+
+    def vote(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
+        """The neighbours' vote, before the curve, and the evidence (example id, cosine, label), the nearest first."""
+        found = self.nearest(text)
         if not found:
             return self.idle, []
-        votes = [(self.weights[self.labels[n]] * s * s, self.labels[n]) for n, s in found]
-        score = (sum(v * y for v, y in votes) + SMOOTH * self.base) / (sum(v for v, _ in votes) + SMOOTH)
-        return min(1.0, max(0.0, score)), [(self.ids[n], s, self.labels[n]) for n, s in found]
+        numbers, cosines = np.array([n for n, _ in found]), np.array([s for _, s in found])
+        labels = self.labels[numbers]
+        votes = np.where(labels == 1, self.weights[1], self.weights[0]) * cosines * cosines
+        share = (float(votes[labels == 1].sum()) + SMOOTH * self.base) / (float(votes.sum()) + SMOOTH)
+        return share, list(zip(self.ids[numbers].tolist(), cosines.tolist(), labels.tolist()))
 
+    def calibrated(self, shares: np.ndarray) -> np.ndarray:
+        """Probabilities of label 1 from votes; 0 where there are no examples."""
+        return 1 / (1 + np.exp(-(self.curve[0] * logit(shares) + self.curve[1]))) if len(self.ids) else np.zeros(len(shares))
 
-def _counted(docs: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """``(doc_id, toxic, term, n)`` of labelled texts, of all terms or the wanted ones; one null term where none."""
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """``(doc_id, toxic, terms, counts)`` of labelled texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, toxic, text in rows_of([batch], "doc_id", "toxic", "text"):
-                rows += [(doc, toxic, t, n) for t, n in counted(text, wanted).items() or [(None, 0)]]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["doc_id", "toxic", "term", "n"])
+            found = [Counter(words(t)) for (t,) in rows_of([batch], "text")]
+            terms, counts = pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), terms, counts], ["doc_id", "toxic", "terms", "counts"])
+
+    return texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>, counts array<int>")
+
 
-    return docs.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, term string, n long")
+def _index(texts: DataFrame, weights: tuple[float, float]) -> Index:
+    """An index of the bounded sample's ``(doc_id, toxic, text)``."""
+    table = stash_texts(_counted(texts), "toxicity-counts").orderBy("doc_id").toArrow()
+    terms, counts = (table.column(c).combine_chunks() for c in ("terms", "counts"))
+    lengths = np.diff(np.asarray(terms.offsets)) if len(terms) else np.zeros(0, np.int64)
+    coded = terms.flatten().dictionary_encode()
+    example = np.repeat(np.arange(len(lengths)), lengths)
+    return Index(np.asarray(table.column("doc_id")), np.asarray(table.column("toxic")), coded.dictionary.to_pylist(), example, np.asarray(coded.indices, dtype=np.int64), np.asarray(counts.flatten(), dtype=np.float64), weights)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
-    """An index over at most ``examples`` labelled documents of each class (``labels.toxic`` 0 or 1).
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Index:
+    """An index over a sample of the labelled documents (``labels.toxic`` 0 or 1), and the curve of its votes.
 
-    The sample, a row per example, is broadcast to find its texts; class totals cover all labels given.
-    A document labelled twice counts as toxic if one of its labels does; equal texts are one example.
+    The sample has at most ``examples`` documents of each class and ``chars`` characters of their texts; its ids are
+    broadcast to find the texts; class totals cover all labels given.  A document labelled twice counts as toxic if one of its
+    labels does; of an id that repeats with different texts, the smallest text counts; equal texts are one example, which has
+    the smallest id, and is toxic if one of them is.  One in ``CALIBRATE`` of the sample is kept from the index and fits the curve.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = stash(known.select("doc_id", "toxic"), "toxicity-labels")
     totals = dict(map(tuple, known.groupBy("toxic").count().collect()))
     picked = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     sample = picked[0].union(picked[1])
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    texts = stash(texts.dropDuplicates(["doc_id"]).groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("same")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("x")).select("x.*"), "toxicity-examples")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = texts.groupBy(F.md5(F.col("text").cast("binary")).alias("same")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    texts = stash(texts.withColumn("chars", F.sum(F.length("text")).over(upto)).filter(F.col("chars") <= chars).select("doc_id", "toxic", "text"), "toxicity-examples")
     taken = dict(map(tuple, texts.groupBy("toxic").count().collect()))
     shares = [totals.get(y, 0) / taken[y] if taken.get(y) else 0.0 for y in (0, 1)]
     weights = (shares[0] / shares[1], 1.0) if shares[1] else (1.0, 1.0)
-    per = _counted(texts, None).filter("term is not null").groupBy("term").agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
-    hits, n = F.col("hits"), F.col("hits") + (F.col("n") - F.col("hits")) * F.lit(weights[0])
-    share, z2 = hits / n, F.lit(SURE**2)
-    lower = (share + z2 / (2 * n) - F.lit(SURE) * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    least = max(MIN_EXAMPLES, MIN_SHARE * taken.get(1, 0))
-    wanted = frozenset(r[0] for r in per.filter((hits >= least) & (lower > F.when(F.col("term").endswith("*"), TELLING_BEGINNING).otherwise(TELLING))).select("term").collect())
-    found: dict[int, tuple[int, dict[str, int]]] = {}
-    for doc, toxic, term, count in _counted(texts, wanted).collect():
-        found.setdefault(doc, (toxic, {}))[1].update({term: count} if term is not None else {})
-    return Index([(d, y, c) for d, (y, c) in sorted(found.items())], weights)
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CALIBRATE)) == 0
+    index = _index(texts.filter(~aside), weights)
+    voted = score(texts.filter(aside).select("toxic", "text"), index).select("toxic", "vote").toArrow()
+    toxic = np.asarray(voted.column("toxic"), dtype=np.float64)
+    index.curve = fit_curve(np.asarray(voted.column("vote"), dtype=np.float64), toxic, np.where(toxic == 1, weights[1], weights[0]))
+    return index
 
 
 def score(docs: DataFrame, index: Index, reject: float = REJECT) -> DataFrame:
-    """``docs`` (columns but ``text`` pass through) -> plus ``score double, predicted int, evidence``.
+    """``docs`` (columns but ``text`` pass through) -> plus ``score double, predicted int, vote double, evidence``.
 
-    ``evidence``: up to three of the nearest examples, as (doc_id, cosine, toxic).
+    ``vote`` is the neighbours' vote before calibration; ``evidence`` up to three of the nearest examples, as (doc_id, cosine, toxic).
     """
-    kept = [c for c in docs.columns if c not in ("text", "score", "predicted", "evidence")]
+    added = ["score", "predicted", "vote", "evidence"]
+    kept = [c for c in docs.columns if c != "text" and c not in added]
     sent = docs.sparkSession.sparkContext.broadcast(index)
     shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        telling, known = frozenset(index.idf), {}
+        index = sent.value.ready()
         for batch in batches:
-            scores, proofs = [], []
+            votes, proofs = [], []
             for (text,) in rows_of([batch], "text"):
-                s, proof = index.score(counted(text, telling, known))
-                scores.append(s)
+                share, proof = index.vote(text)
+                votes.append(share)
                 proofs.append([{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in proof[:3]])
-            predicted = pa.array([int(s >= reject) for s in scores], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64()), predicted, pa.array(proofs, shape)], [*kept, "score", "predicted", "evidence"])
+            shares = np.array(votes, np.float64)
+            scores = index.calibrated(shares)
+            predicted = pa.array((scores >= reject).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores), predicted, pa.array(shares), pa.array(proofs, shape)], [*kept, *added])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    schema = f"{fields}{', ' if fields else ''}score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"
+    schema = f"{fields}{', ' if fields else ''}score double, predicted int, vote double, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"
     return stash_texts(docs.select(*kept, "text").mapInArrow(run, schema), "toxicity")
 
 
@@ -204,11 +270,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted, evidence``.
+    """One row per document: ``doc_id, held_out, score, predicted, vote, evidence``.
 
-    Only labels of documents that are not held out are learned from.  Null and empty texts, and all texts if no
-    label teaches a term, get the share of toxic examples without a telling term (0 without labels); repeated
-    rows each give a row; ties among neighbours go to the smaller example id.
+    Only labels of documents that are not held out are learned from.  Null and empty texts, and texts without a word of the
+    sample, get the vote of such examples (0 without labels).  Whole texts count, of any length.  Repeated rows each give a row;
+    ties among neighbours go to the smaller example id; no rows give no rows.
     """
     index = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
     return score(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), index)

@@ -3,7 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import exp, log, log10, sqrt
 
 import numpy as np
 import pytest
@@ -35,18 +35,97 @@ def toxic_corpus(n=600):
     return docs, labels
 
 
+def plain_vectors(examples, weights):
+    """``examples``: (id, toxic, text) -> (term weights, {id: unit vector}, base share), by the definition."""
+    mass = {i: weights[y] for i, y, _ in examples}
+    every, base = sum(mass.values()), sum(mass[i] for i, y, _ in examples if y) / sum(mass.values())
+    n, hits = defaultdict(float), defaultdict(float)
+    for i, y, text in examples:
+        for t in set(toxicity.words(text)):
+            n[t] += mass[i]
+            hits[t] += mass[i] * y
+    weight = {}
+    for t in n:
+        share, z2 = hits[t] / n[t], toxicity.SURE**2
+        low = (share + z2 / (2 * n[t]) - toxicity.SURE * sqrt(share * (1 - share) / n[t] + z2 / (4 * n[t] ** 2))) / (1 + z2 / n[t])
+        weight[t] = log((every + 1) / (n[t] + 1)) * max(toxicity.FLOOR, (low - base) / (1 - base))
+    return weight, {i: plain_vector(weight, text) for i, _, text in examples}, base
+
+
+def plain_vector(weight, text):
+    raw = {t: (1 + log(n)) * weight[t] for t, n in Counter(toxicity.words(text)).items() if t in weight}
+    norm = sqrt(sum(x * x for x in raw.values()))
+    return {t: x / norm for t, x in raw.items()} if norm > 0 else {}
+
+
+def plain_vote(weight, vectors, labels, weights, base, text):
+    q = plain_vector(weight, text)
+    found = sorted((-round(sum(x * v.get(t, 0.0) for t, x in q.items()), 9), i) for i, v in vectors.items())
+    found = [(i, -s) for s, i in found[: toxicity.NEIGHBOURS] if s < 0]
+    votes = [(weights[labels[i]] * s * s, labels[i]) for i, s in found]
+    share = (sum(v for v, y in votes if y) + toxicity.SMOOTH * base) / (sum(v for v, _ in votes) + toxicity.SMOOTH)
+    return [i for i, _ in found], share
+
+
 def test_nearest_equal_brute_force():
     rng = random.Random(7)
-    names = [f"t{k}" for k in range(12)]
-    examples = [(i, rng.randrange(2), dict(Counter(rng.choices(names, k=rng.randrange(0, 6))))) for i in range(700)]
-    index = toxicity.Index(examples, (2.0, 1.0))
-    vectors = [index.vector(c) for _, _, c in examples if c]
-    for _ in range(60):
-        query = dict(Counter(rng.choices(names, k=rng.randrange(1, 6))))
-        q = index.vector(query)
-        scores = [(-round(sum(x * v.get(t, 0.0) for t, x in q.items()), 9), n) for n, v in enumerate(vectors)]
-        want = [n for s, n in sorted(scores)[: toxicity.NEIGHBOURS] if s < 0]
-        assert [n for n, _ in index.nearest(query)] == want
+    names = [f"t{min(int(rng.expovariate(0.08)), 400)}" for _ in range(4000)]
+    examples = [(i, int(rng.random() < 0.3), " ".join(rng.choices(names, k=rng.randrange(0, 40)) + ["vile"] * (i % 9 == 0))) for i in range(900)]
+    examples = [(i, 1 if "vile" in t else y, t) for i, y, t in examples]
+    examples += [(5000 + k, 0, examples[1][2]) for k in range(20)]  # ties
+    found = [Counter(toxicity.words(t)) for _, _, t in examples]
+    terms = sorted({t for c in found for t in c})
+    code = {t: k for k, t in enumerate(terms)}
+    example = np.array([k for k, c in enumerate(found) for _ in c])
+    index = toxicity.Index(np.array([i for i, _, _ in examples]), np.array([y for _, y, _ in examples]), terms, example, np.array([code[t] for c in found for t in c]), np.array([n for c in found for n in c.values()], float), (2.0, 1.0))
+    assert (index.row >= 0).sum() > 10  # some terms are common, so blocks are passed over by their bounds
+    weight, vectors, base = plain_vectors(examples, (2.0, 1.0))
+    labels = {i: y for i, y, _ in examples}
+    for k in range(150):
+        query = examples[1][2] if k == 0 else " ".join(rng.choices(names, k=rng.randrange(1, 40)) + ["vile"] * (k % 4 == 0))
+        want, share = plain_vote(weight, vectors, labels, (2.0, 1.0), base, query)
+        assert [int(index.ids[n]) for n, _ in index.nearest(query)] == want
+        assert index.vote(query)[0] == pytest.approx(share, abs=1e-7)
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    docs, labels = toxic_corpus(300)
+    df, marks = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df.repartition(3), marks).collect()}
+    aside = {r.doc_id for r in df.filter(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(toxicity.CALIBRATE)) == 0).collect()}
+    kept = [(i, labels[i][1], t) for i, t, _ in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    weights = (1.0, 1.0)  # all labelled documents are in the sample
+    inside = [x for x in kept if x[0] not in aside]
+    weight, vectors, base = plain_vectors(inside, weights)
+    votes = {i: plain_vote(weight, vectors, dict(labels), weights, base, t)[1] for i, t, _ in docs}
+    x = {i: log(min(max(v, 1e-3), 1 - 1e-3) / (1 - min(max(v, 1e-3), 1 - 1e-3))) for i, v in votes.items()}
+    fold = [(x[i], y) for i, y, _ in kept if i in aside]
+
+    def loss(a, b):
+        return sum(log(1 + exp(-(a * v + b) if y else a * v + b)) for v, y in fold) + ((a - 1) ** 2 + b * b) / 2 * toxicity.PULL
+
+    a, b, step = 1.0, 0.0, 0.5
+    while step > 1e-6:  # descent by coordinates: the loss is convex
+        best = min(((loss(a + i * step, b + j * step), i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        a, b, step = (a + best[1] * step, b + best[2] * step, step) if best[1] or best[2] else (a, b, step / 2)
+    assert len(got) == 300
+    for i, r in got.items():
+        assert r.vote == pytest.approx(votes[i], abs=1e-7)
+        assert r.score == pytest.approx(1 / (1 + exp(-(a * x[i] + b))), abs=1e-4)
+
+
+def test_toxicity_is_calibrated_and_repeatable(spark):
+    rng = random.Random(5)
+    docs, labels = toxic_corpus(1500)
+    labels = [(i, int(rng.random() < (0.9 if y else 0.05))) for i, y in labels]  # noisy labels: no score is certain
+    docs += [(7, "another text of id seven", "en"), (7, None, "en")]
+    df, marks = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    runs = [{(r.doc_id, r.held_out): r.score for r in toxicity.toxicity(df.repartition(k), marks).filter("doc_id <> 7").collect()} for k in (1, 7)]
+    assert runs[0] == runs[1]
+    truth = dict(labels)
+    for lo, hi in ((0.0, 0.5), (0.5, 1.01)):
+        part = [(s, truth[i]) for (i, held), s in runs[0].items() if held and lo <= s < hi]
+        assert abs(sum(s for s, _ in part) - sum(y for _, y in part)) < 0.1 * len(part) + 2
 
 
 def test_toxicity_on_held_out_documents(spark):
