@@ -71,27 +71,27 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op6_line_dedup"] = r"""
 WITH lines AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+  SELECT DISTINCT doc_id, md5(text) AS mark, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
 ), win AS (
-  SELECT doc_id, i - 1 AS pos, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS k
+  SELECT doc_id, mark, i - 1 AS pos, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS k
   FROM lines, LATERAL (SELECT unnest(range(1, len(ls) - 1)) AS i)
   WHERE trim(ls[i], ' ') <> '' OR trim(ls[i + 1], ' ') <> '' OR trim(ls[i + 2], ' ') <> ''
 ), ranked AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r FROM win
+  SELECT doc_id, mark, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, mark, pos) AS r FROM win
 ), gone AS (
-  SELECT DISTINCT doc_id, pos + o AS pos FROM ranked, (SELECT unnest([0, 1, 2]) AS o) WHERE r > 1
+  SELECT DISTINCT doc_id, mark, pos + o AS pos FROM ranked, (SELECT unnest([0, 1, 2]) AS o) WHERE r > 1
 ), kept AS (
-  SELECT l.doc_id, l.i, l.line, g.pos IS NOT NULL AS cut
-  FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM lines) l
-  LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.i
+  SELECT l.doc_id, l.mark, l.i, l.line, g.pos IS NOT NULL AS cut
+  FROM (SELECT doc_id, mark, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM lines) l
+  LEFT JOIN gone g ON g.doc_id IS NOT DISTINCT FROM l.doc_id AND g.mark = l.mark AND g.pos = l.i
 )
 SELECT d.doc_id,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
        coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT cut) AS text,
+  SELECT doc_id, mark, string_agg(line, chr(10) ORDER BY i) FILTER (NOT cut) AS text,
          count(*) AS n_lines, count(*) FILTER (cut) AS n_removed
-  FROM kept GROUP BY doc_id) k ON k.doc_id = d.doc_id
+  FROM kept GROUP BY doc_id, mark) k ON k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.mark = md5(d.text)
 """
 
 ORACLES["op9_mixing"] = rf"""

@@ -161,6 +161,13 @@ def test_line_dedup_repeats_and_no_rows(spark):
     assert linedup.dedup_lines(docs.filter("false")).count() == 0
 
 
+def test_line_dedup_keeps_unrepeated_lines_of_repeated_ids(spark):
+    docs = frame(spark, [(1, "p\na1\na2\na3"), (2, "q\na1\na2\na3\nx"), (2, "u1\nu2\nu3\nu4\nu5"), (2, "u1\nu2\nu3\nu4\nu5"), (None, "z\nv1\nv2\nv3\nv4"), (None, "w\na1\na2\na3"), (None, None)])
+    got = sorted(((r.doc_id, r.text) for r in linedup.dedup_lines(docs.repartition(3)).collect()), key=str)
+    # the null id comes first, so it keeps the shared lines
+    assert got == sorted([(1, "p"), (2, "q\nx"), (2, "u1\nu2\nu3\nu4\nu5"), (2, "u1\nu2\nu3\nu4\nu5"), (None, "z\nv1\nv2\nv3\nv4"), (None, "w\na1\na2\na3"), (None, None)], key=str)
+
+
 # mixing
 
 
