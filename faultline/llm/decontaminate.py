@@ -3,7 +3,8 @@
 Every passage of every document is a query against the items.  Impacts are divided by each item's own
 threshold, so "above threshold" is 1 for all.  The threshold is safe: it is the score that is left when the item
 loses its most telling terms, as many as a shingle overlap of ``OVERLAP`` allows to be missing.  Retrieved pairs
-are verified by the share of the item's five-word shingles found in the passage.
+are verified by the share of the item's five-word shingles found in the passage.  Passages follow the item alone: its
+reach is the smallest power of two that its words fit in, and a passage is two reaches long, a reach apart.
 """
 
 from __future__ import annotations
@@ -59,18 +60,25 @@ class Index:
     postings: dict = field(default_factory=dict)
     peak: dict = field(default_factory=dict)
     arrays: dict = field(default_factory=dict)
-    window: int = 0
+    reach: int = 1
 
     @classmethod
-    def build(cls, items: list[tuple], df: dict[bytes, int], total: int, mean: float) -> Index:
-        """``items``: (id, question, answer); ``df``, ``total``, ``mean``: over the whole benchmark."""
-        index = cls()
+    def by_reach(cls, items: list[tuple], df: dict[bytes, int], total: int, mean: float) -> list[Index]:
+        """An index for each reach among ``items``: (id, question, answer); ``df``, ``total``, ``mean``: over the whole benchmark."""
+        groups: dict[int, list[tuple]] = {}
+        for item, question, answer in items:
+            words = len(tokens(question)) + len(tokens(answer))
+            if words:
+                groups.setdefault(1 << (words - 1).bit_length(), []).append((item, question, answer))
+        return [cls.build(group, df, total, mean, reach) for reach, group in sorted(groups.items())]
+
+    @classmethod
+    def build(cls, items: list[tuple], df: dict[bytes, int], total: int, mean: float, reach: int = 1) -> Index:
+        index = cls(reach=reach)
         lists: dict[bytes, list] = {}
         for item, question, answer in items:
             parts = [tokens(question), tokens(answer)]
             words = parts[0] + parts[1]
-            if not words:
-                continue
             norm = K1 * (1 - B + B * len(words) / mean)
             impact = {t: log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(words).items()}
             may_miss = sum(int((1 - OVERLAP) * max(1, len(p) - SHINGLE + 1) + 1e-9) for p in parts if p)  # 1 - 0.8 is below 0.2
@@ -78,7 +86,6 @@ class Index:
             number = len(index.ids)
             index.ids.append(item)
             index.parts.append([(shingles(p), len(p)) for p in parts if p])
-            index.window = max(index.window, len(words))
             for term, x in impact.items():
                 lists.setdefault(term, []).append((number, x / least))
         for term, got in lists.items():
@@ -130,16 +137,14 @@ class Index:
         numbers, values = zip(*map(self.arrays.__getitem__, hits))
         return bool(np.bincount(np.concatenate(numbers), np.concatenate(values)).max() >= 1 - 1e-9)
 
-    def matches(self, text: str | None) -> dict[int, tuple[float, float]]:
-        """Verified items of a whole text: number -> (normalised score, overlap), the best over its passages.
+    def matches(self, words: list[bytes], present: set[bytes]) -> dict[int, tuple[float, float]]:
+        """Verified items in the ``words`` of a whole text: number -> (normalised score, overlap), each the largest over its passages.
 
-        Passages are windows of twice the longest item's length, a length apart, so any occurrence of an item
-        lies whole in one of them.
+        ``present``: the distinct words.  Any occurrence of an item lies whole in one of the passages.
         """
-        words = tokens(text)
         best: dict[int, tuple[float, float]] = {}
-        known, peak, step = self.peak.keys(), self.peak.__getitem__, max(1, self.window)
-        if not self.may_hold(known & set(words)):
+        known, peak, step = self.peak.keys(), self.peak.__getitem__, self.reach
+        if not self.may_hold(known & present):
             return best
         for start in range(0, max(1, len(words) - step), step):
             passage = words[start : start + 2 * step]
@@ -149,16 +154,24 @@ class Index:
             for number, score in self.search(sorted(hits)):
                 share = min(found_share(want, passage, n) for want, n in self.parts[number])
                 if share >= OVERLAP:
-                    best[number] = max(best.get(number, (0.0, 0.0)), (score, share))
+                    before = best.get(number, (0.0, 0.0))
+                    best[number] = (max(before[0], score), max(before[1], share))
         return best
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Index shards of at most about ``SHARD_ITEMS`` items, built one after the other; statistics are global."""
+def leaks(indexes: list[Index], text: str | None) -> list[tuple]:
+    """``(item id, score, overlap)`` of the items that a whole text holds."""
+    words = tokens(text)
+    present = set(words)
+    return [(index.ids[n], *x) for index in indexes for n, x in index.matches(words, present).items()]
+
+
+def _indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> Iterator[list[Index]]:
+    """Index shards, each by reach, of at most about ``shard_items`` items, built one after the other; statistics are global."""
     has_answer = "answer" in benchmark.columns
     answer = F.col("answer").cast("string") if has_answer else F.lit("")
     items = benchmark.select("item_id", F.col("text").alias("question"), F.coalesce(answer, F.lit("")).alias("answer"))
-    shards = -(-items.count() // SHARD_ITEMS)
+    shards = -(-items.count() // shard_items)
     if shards == 0:
         return
     kind = items.schema["item_id"].dataType.simpleString()
@@ -181,29 +194,31 @@ def _indexes(benchmark: DataFrame) -> Iterator[Index]:
         rows = items.filter(shard == k).select("item_id", "question", "answer").collect()
         used = split.filter(shard == k).select(F.explode("terms").alias("term")).distinct() if shards > 1 else None
         counts = dict((bytes(t), n) for t, n in (df.join(used, "term", "left_semi") if used is not None else df).collect())
-        yield Index.build(sorted(map(tuple, rows), key=repr), counts, total, mean)
+        yield Index.by_reach(sorted(map(tuple, rows), key=repr), counts, total, mean)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Leaks: ``doc_id, item_id, score, overlap``, a row per document and item that one of its passages holds.
 
     ``score`` is BM25 over the item's threshold (1 or more), ``overlap`` the share of the item's five-word
     shingles in the passage (0.8 or more; items under five words must occur whole).  With an ``answer`` column,
-    question (``text``) and answer must both reach it and ``overlap`` is the smaller share.  Null and empty
-    texts or items never match; repeated rows count once; no rows give no rows.
+    question (``text``) and answer must both reach it and ``overlap`` is the smaller share.  Both figures are the
+    largest over the passages; whether an item is found depends on that item and the text alone, not on other items
+    or on ``shard_items``.  Whole texts are searched, of any length.  Null and empty texts or items never match;
+    repeated rows of an id, equal or not, count as one document; no rows give no rows.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, overlap double"
     narrow, item_type = docs.select("doc_id", "text"), to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
-    for index in _indexes(benchmark):
-        sent = spark.sparkContext.broadcast(index)
+    for indexes in _indexes(benchmark, shard_items):
+        sent = spark.sparkContext.broadcast(indexes)
 
         def run(batches, sent=sent):
-            index = sent.value
+            indexes = sent.value
             for batch in batches:
-                rows = [(d, index.ids[n], *x) for d, text in rows_of([batch], "doc_id", "text") for n, x in index.matches(text).items()]
+                rows = [(d, *x) for d, text in rows_of([batch], "doc_id", "text") for x in leaks(indexes, text)]
                 columns = list(zip(*rows, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (batch.schema.field("doc_id").type, item_type, pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "score", "overlap"])
 

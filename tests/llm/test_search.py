@@ -230,13 +230,45 @@ def test_leaks_at_exactly_the_overlap(spark):
     assert got == {(10 * k + j, k): 0.8 for k in range(3) for j in range(2)}
 
 
-def test_many_index_shards_find_the_same(spark, monkeypatch):
+def plain_passages(items, docs):
+    """Leaks by the definition: passages of twice the reach, a reach apart, for each item by itself."""
+    out = {}
+    for i, t in items:
+        item = decontaminate.tokens(t)
+        want, size, reach = decontaminate.shingles(item), min(5, len(item)), 1
+        while reach < len(item):
+            reach *= 2
+        for d, text in docs:
+            words = decontaminate.tokens(text)
+            for at in range(0, max(1, len(words)), reach):
+                part = words[at : at + 2 * reach]
+                share = len(want & set(zip(*(part[k:] for k in range(size))))) / len(want) if want else 0
+                if share >= 0.8:
+                    out[d, i] = max(share, out.get((d, i), 0))
+    return out
+
+
+def test_many_index_shards_find_the_same(spark):
     items, docs = bench_corpus()
+    rng = random.Random(8)
+    items = items + [(900 + n, " ".join(f"long{n}w{k}" for k in range(n))) for n in (1, 2, 60, 130, 1500)]
+    docs = docs + [(900 + n, " ".join(["pad"] * rng.randrange(300) + [t] + ["pad"] * 50)) for n, (_, t) in enumerate(items[-5:])]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    whole = {tuple(r) for r in decontaminate.contaminated(df, bench).collect()}
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 25)
-    parts = {tuple(r) for r in decontaminate.contaminated(df, bench).collect()}
-    assert {r[:2] for r in parts} == {r[:2] for r in whole}
+    want = plain_passages(items, docs)
+    assert len(want) > 35 and len({i for _, i in want} & {901, 902, 960, 1030, 2400}) == 5
+    for shard_items in (decontaminate.SHARD_ITEMS, 25):
+        got = {(r.doc_id, r.item_id): r.overlap for r in decontaminate.contaminated(df, bench, shard_items).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_a_long_item_leaves_the_others_as_they_are(spark):
+    words = [f"m{k}" for k in range(20)]
+    apart = " ".join(words[:10] + [f"f{k}" for k in range(1000)] + words[10:])
+    docs = spark.createDataFrame([(1, apart), (2, " ".join(words)), (3, " ".join(words[:14] + ["x"] * 90 + words + ["y"] * 5))], "doc_id long, text string")
+    items = [(1, " ".join(words)), (2, " ".join(f"z{k}" for k in range(1500)))]
+    for some in (items[:1], items):
+        got = {(r.doc_id, r.item_id): r.overlap for r in decontaminate.contaminated(docs, spark.createDataFrame(some, "item_id long, text string")).collect()}
+        assert got == {(2, 1): 1.0, (3, 1): 1.0}  # the largest overlap of the passages of document 3
 
 
 def test_block_max_search_equals_scoring_all():
