@@ -74,6 +74,17 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def text_key(text) -> F.Column:
+    """A 64-bit hash of a text column, null as empty: with the id, it tells rows that repeat an id from each other."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not among ``gone(doc_id, key)``, all columns; null ids stay."""
+    out = gone.select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct()
+    return docs.join(out, (docs["doc_id"] == out["__gone"]) & (text_key(docs["text"]) == out["__key"]), "left_anti")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of the contracts: A-Z lower-cased, split at ASCII blanks (bytes methods touch ASCII only)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

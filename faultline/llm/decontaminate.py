@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import rows_of, stash_texts
+from .common import rows_of, stash_texts, text_key, without
 
 SHINGLE, OVERLAP = 5, 0.8
 K1, B, BLOCK = 1.2, 0.75, 64
@@ -230,6 +230,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no benchmark item; null ids stay."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` (all columns) that hold no benchmark item; null ids stay; rows that share an id are judged by their own texts."""
+    keyed = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("key")).alias("doc_id"), "text")
+    return without(docs, contaminated(keyed, benchmark).select("doc_id.*"))

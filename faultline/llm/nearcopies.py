@@ -1,9 +1,13 @@
-"""Near copies by word shingles: min-hash bands propose pairs, the shingles themselves decide.
+"""Near copies by word shingles: SimHash balls and min-hash bands propose pairs, the shingles themselves decide.
 
-Texts are sets of five-word shingles; two are near copies if their Jaccard similarity is ``SIMILAR`` or more.
-Equal sets are one node.  ``BANDS`` bands of ``ROWS`` min-hashes name buckets; a pair at the bound shares no
-bucket about 26 times in a million.  Neighbours in a bucket are compared first and components built; then every
-pair of a bucket whose ends are still in different components, so no pair that shares a bucket is passed over.
+Texts are sets of five-word shingles; two are near copies if their Jaccard similarity is 4/5 or more.  Equal sets
+are one node.  Pairs are proposed in three steps, each looking only at what the ones before left in different components:
+
+* SimHash by meet-in-the-middle balls, as in :mod:`simhash`: neighbours among the fingerprints around a variant;
+* ``BANDS`` bands of ``ROWS`` min-hashes, because a ball of a radius that can be emitted holds few pairs at 4/5; neighbours in a bucket.
+  A pair at the bound shares no bucket about 26 times in a million;
+* nodes of a bucket that still holds several components: an exact similarity join by prefixes in order of
+  rarity, so a group of texts that are alike, but by less than 4/5, is not compared pair by pair.
 """
 
 from __future__ import annotations
@@ -17,14 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, small_batches, stash, stash_texts, words_of
+from . import simhash
+from .common import rows_of, small_side, stash, stash_texts, text_key, without, words_of
 from .components import components
 
-SHINGLE_WORDS, SIMILAR, BANDS, ROWS, SEED, _CHUNK = 5, 0.8, 20, 4, 42, 2048
-#: Equal min-hashes, of all, below which a pair is not compared: at the bound, fewer come about once in 10 million pairs.
-AGREE = 0.55
+SHINGLE_WORDS, BANDS, ROWS, SEED, _CHUNK = 5, 20, 4, 42, 2048
+#: Nodes up to which a list of them is broadcast to find their texts.
+SMALL_NODES = 100_000
+#: Growth of set sizes from one class of the similarity join to the next.
+CLASS_STEP = 1.05
 _RNG = np.random.default_rng(SEED)
-_FACTORS, _SHIFTS = (_RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_FACTORS = _RNG.integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -38,89 +46,129 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """``BANDS * ROWS`` min-hashes of 32 bits."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), _CHUNK):
-        low = np.minimum(low, (hashes[at : at + _CHUNK] * _FACTORS + _SHIFTS).min(axis=1))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(short), _CHUNK):
+        spread = short[at : at + _CHUNK] * _FACTORS
+        spread += _SHIFTS
+        np.minimum(low, spread.min(axis=1), out=low)
+    return low
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of distinct hashes."""
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes have a Jaccard similarity of 4/5 or more."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if both else 0.0
+    return both > 0 and 9 * both >= 4 * (len(a) + len(b))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, node, signature, bands, text)``: a node is a shingle set, 0 without words; bands are bucket keys."""
+    """``(doc_id, key, node, fp, bands)``: a hash of the text; its shingle set, 0 without words; its SimHash; bucket keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, signs, bands = [], [], []
+            nodes, prints, bands = [], [], []
             for (text,) in rows_of([batch], "text"):
                 hashes = shingle_hashes(text)
-                sign = signature(hashes)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0)
-                signs.append(sign.view(np.int32))
-                bands.append([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(sign.reshape(BANDS, ROWS))] if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                    pa.array(signs, pa.list_(pa.int32())),
-                    pa.array([np.array(b, np.uint64).view(np.int64) for b in bands], pa.list_(pa.int64())),
-                    batch.column("text"),
-                ],
-                ["doc_id", "node", "signature", "bands", "text"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, signature array<int>, bands array<long>, text string")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+                prints.append(simhash.majority(hashes))
+                rows = signature(hashes).reshape(BANDS, ROWS) if len(hashes) else []
+                bands.append(np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64))
+            found = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *found, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "node", "fp", "bands"])
+
+    narrow = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    return narrow.mapInArrow(run, f"doc_id {kind}, key long, node long, fp long, bands array<long>")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes(node, key)`` with a text of each: equal keys have equal texts, so any will do."""
+    met = docs.select(text_key(F.col("text")).alias("__key"), "text").join(small_side(nodes, SMALL_NODES), F.col("__key") == F.col("key"))
+    return met.groupBy("node").agg(F.min("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose shingle sets are similar enough, by the texts themselves."""
-    signs = nodes.select("node", "signature")
-    met = pairs.join(signs.toDF("a", "sa"), "a").join(signs.toDF("b", "sb"), "b")
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    near = stash(met.filter(equal >= int(AGREE * BANDS * ROWS)).select("a", "b"), "near-pairs")
-    texts = nodes.select("node", "text")
-    both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = stash(_texts(docs, nodes.select("node", "key").join(used, "node", "left_semi")), "near-texts")
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similarity(shingle_hashes(x), shingle_hashes(y)) >= SIMILAR for x, y in rows_of([batch], "ta", "tb")]
+            keep = [similar(shingle_hashes(x), shingle_hashes(y)) for x, y in rows_of([batch], "ta", "tb")]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stash_texts(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "near-edges")
 
 
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes with the same or a linked SimHash; a fingerprint stands for its smallest node."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    met = simhash.links(first.select("fp")).join(first.toDF("a", "na"), "a").join(first.toDF("b", "nb"), "b")
+    return same.union(met.select("na", "nb"))
+
+
+def _by_prefix(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``members(node, key, root)`` of different roots that may be similar: no similar pair is missing.
+
+    In an order of all shingles, rarest first, the first shingle that a similar pair shares lies so early in both sets that
+    the rest can hold the overlap: in the first ninth of the smaller set, and in a place of the larger one that bounds the
+    sizes it can be paired with.  Sizes meet by classes, so shingles that a whole group shares late in its order pair nothing.
+    """
+    texts = _texts(docs, members.select("node", "key")).join(members.select("node", "root"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, text in rows_of([batch], "node", "root", "text"):
+                hashes = shingle_hashes(text).view(np.int64)
+                same = [np.full(len(hashes), x, np.int64) for x in (node, root, len(hashes))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(hashes)], ["node", "root", "n", "h"])
+
+    sets = stash_texts(texts.select("node", "root", "text").mapInArrow(run, "node long, root long, n long, h long"), "near-shingles")
+    often = sets.groupBy("h").agg(F.count("*").alias("often"))
+    ranked = sets.join(often, "h").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("often", "h")))
+    ranked = stash(ranked.filter("often > 1 and i <= n - (4 * n + 4) div 5 + 1"), "near-prefixes")
+    size_class = lambda size: F.floor(F.log(size) / F.lit(float(np.log(CLASS_STEP)))).cast("int")
+    small = ranked.filter("i <= n - (8 * n + 8) div 9 + 1").select("h", size_class(F.col("n")).alias("class"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    large = ranked.withColumns({"least": F.expr("(4 * n + 4) div 5"), "most": F.least("n", F.expr("(9 * (n - i + 1) - 4 * n) div 4"))}).filter("least <= most")
+    classes = F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most"))))
+    large = large.select("h", classes.alias("class"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "least", "most")
+    met = small.join(large, ["h", "class"]).filter("ra <> rb and na between least and most and (na < nb or a < b)")
+    return met.select("a", "b").distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, component_id``, the smallest id reachable over pairs of near copies.
+    """One row per document: ``doc_id, key, component_id``: a hash of its text, and the smallest id reachable over pairs of near copies.
 
-    Texts without words are copies of each other.  Repeated rows each give a row; a null id is ignored as a
-    smallest id and is null only where its whole component has no other; no rows give no rows.
+    Texts without words are copies of each other.  Whole texts count, of any length.  Repeated rows each give a
+    row; rows that share an id but not the text are nodes of their own; a null id is ignored as a smallest id and is
+    null only where its whole component has no other; no rows give no rows.
     """
+    docs = docs.select("doc_id", "text")
     prints = stash_texts(signed(docs), "near-prints")
-    with small_batches(docs.sparkSession):
-        first = prints.groupBy("node").agg(F.min("doc_id").alias("low"))
-        one = stash(prints.groupBy("node").agg(F.first(F.struct("signature", "bands", "text")).alias("x")).select("node", "x.*"), "near-nodes")
-    banded = one.select("node", F.explode("bands").alias("bucket"))
-    shared = stash(banded.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").select("node", "bucket"), "near-buckets")
-    beside = shared.withColumn("a", F.lag("node").over(Window.partitionBy("bucket").orderBy("node"))).filter("a is not null")
-    tried = stash(beside.select("a", F.col("node").alias("b")).distinct(), "near-tried")
-    edges = _verified(tried, one)
-    rooted = shared.join(components(edges), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    nodes = stash(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy("node")
+    shared = banded.withColumns({"before": F.lag("node").over(order), "after": F.lead("node").over(order)})
+    shared = stash(shared.filter("before is not null or after is not null").select("node", "bucket", "before"), "near-buckets")
+    beside = shared.filter("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b"))
+    tried = stash(beside.union(_by_simhash(nodes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-tried")
+    edges = _verified(tried, docs, nodes)
+    rooted = shared.select("node", "bucket").join(components(edges), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     span = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    mixed = stash(rooted.join(span.filter("lo < hi and n > 2").select("bucket"), "bucket", "left_semi"), "near-mixed")
-    left, right = mixed.toDF("bucket", "a", "ra"), mixed.toDF("bucket", "b", "rb")
-    rest = left.join(right, "bucket").filter("a < b and ra <> rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    edges = edges.union(_verified(stash(rest, "near-rest"), one))
-    named = first.join(components(edges), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.join(span.filter("lo < hi and n > 2").select("bucket"), "bucket", "left_semi").select("node", "root").distinct()
+    members = stash(mixed.join(nodes.select("node", "key"), "node"), "near-mixed")
+    rest = stash(_by_prefix(docs, members).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    edges = edges.union(_verified(rest, docs, nodes))
+    named = nodes.select("node", "low").join(components(edges), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select("doc_id", "node").join(named.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "key", "node").join(named.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "key", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component (all columns; null ids and repeated rows of a kept id stay)."""
-    gone = near_copies(docs).filter("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` whose id is the smallest of its component, all columns.
+
+    Null ids stay, and so do equal rows of a kept id; of rows that share an id, only those go whose own text is a copy.
+    """
+    return without(docs, near_copies(docs).filter("doc_id > component_id"))

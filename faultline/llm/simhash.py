@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, stash, stash_texts, words_of
+from .common import rows_of, stash, stash_texts, text_key, without, words_of
 from .components import components
 
 SHINGLE_WORDS, RADIUS, SEED, _CHUNK = 3, 2, 42, 1 << 16
@@ -30,25 +30,29 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
         return 0
     count = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, count)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, count))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of unsigned 64-bit hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, count, _CHUNK):
+    for at in range(0, len(hashes), _CHUNK):
         octets = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)``: one row per input row, ``fp`` the fingerprint as a signed long.  Null text counts as empty."""
+    """``(doc_id, key, fp)``: one row per input row, a hash of its text and the fingerprint as a signed long.  Null text counts as empty."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.fromiter((fingerprint(t, shingle) for (t,) in rows_of([batch], "text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(got.view(np.int64))], ["doc_id", "key", "fp"])
 
-    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {kind}, fp long")
+    narrow = docs.select(F.col(id_column).alias("doc_id"), text_key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, key long, fp long")
 
 
 def _signed(value: int) -> int:
@@ -78,12 +82,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE_WORDS
 ) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint, component_id``.
+    """One row per document: ``doc_id, key, fingerprint, component_id``; ``key`` is a hash of its text.
 
     ``fingerprint`` has 16 lowercase hex digits; ``component_id`` is the smallest id reachable over links of
     ``radius`` or fewer differing bits, itself included.  Null and empty texts have fingerprint zero and link
     like any other; repeated rows and ids each give a row; a null id is ignored as a smallest id and is null
-    only where its whole component has no other; no rows give no rows.  Other columns are not read.
+    only where its whole component has no other; whole texts count, of any length; no rows give no rows.
+    Other columns are not read.
     """
     prints = stash_texts(fingerprints(docs, id_column, text_column, shingle), "simhash")
     first = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
@@ -91,14 +96,12 @@ def near_duplicates(
     rooted = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", "key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component (all columns; null ids stay).
+    """The rows of ``docs`` whose id is the smallest of its component, all columns.
 
-    Repeated rows of a kept id stay: they are one document to this operator.
+    Null ids stay, and so do equal rows of a kept id; of rows that share an id, only those go whose own text is a copy.
     """
-    groups = near_duplicates(docs)
-    gone = groups.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without(docs, near_duplicates(docs).filter("doc_id > component_id"))

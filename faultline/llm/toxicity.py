@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, stash, stash_texts
+from .common import rows_of, stash, stash_texts, text_key, without
 
 #: Labelled examples taken of each class (smallest hash of the id first), and characters of their texts: the documented bounds of the fit.
 EXAMPLES, EXAMPLE_CHARS = 4000, 1 << 25
@@ -281,6 +281,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are not predicted toxic; null ids stay."""
-    gone = toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` (all columns) that are not predicted toxic; null ids stay; rows that share an id are judged by their own texts."""
+    index = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return without(docs, score(docs.select("doc_id", text_key(F.col("text")).alias("key"), "text"), index).filter("predicted = 1"))

@@ -1,6 +1,7 @@
 """The pipeline's near-copy stage against brute force on five-word shingles."""
 
 import random
+from itertools import combinations
 
 import corpus_pipeline
 from faultline.llm import nearcopies
@@ -51,3 +52,23 @@ def test_nulls_repeats_and_no_rows(spark):
     kept = sorted((r.doc_id for r in nearcopies.keep_one_per_group(df).collect()), key=str)
     assert kept == sorted([3, 3, None, 8, None], key=str)
     assert nearcopies.keep_one_per_group(df.filter("false")).count() == 0
+
+
+def test_a_copy_takes_no_other_text_of_its_id(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "all else"), (3, "x y")], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in nearcopies.keep_one_per_group(df).collect())
+    assert kept == [(1, "a b c d e f"), (2, "all else"), (3, "x y")]
+
+
+def test_a_group_alike_by_less_is_not_paired(spark):
+    """Variants of one text that share about two thirds with each other: proposed pairs stay far below all pairs."""
+    rng = random.Random(9)
+    base = " ".join(f"b{k}" for k in range(300))
+    docs = [(i, edited(rng, base, 8)) for i in range(400)] + [(1000 + i, edited(rng, base, 2)) for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    members = nearcopies.signed(df).selectExpr("node", "key", "node as root")
+    proposed = nearcopies._by_prefix(df, members).count()
+    sets = {i: plain_shingles(t) for i, t in docs}
+    linked = sum(9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) for a, b in combinations(sets, 2))
+    assert linked <= proposed < 0.15 * 410 * 409 / 2
+    assert {r.doc_id for r in nearcopies.keep_one_per_group(df).collect()} == plain_kept(docs)
