@@ -28,6 +28,8 @@ from .components import components
 SHINGLE_WORDS, BANDS, ROWS, SEED, _CHUNK = 5, 20, 4, 42, 2048
 #: Nodes up to which a list of them is broadcast to find their texts.
 SMALL_NODES = 100_000
+#: Shingle hashes that a verifying task remembers from batch to batch.
+REMEMBERED = 1 << 22
 #: Growth of set sizes from one class of the similarity join to the next.
 CLASS_STEP = 1.05
 _RNG = np.random.default_rng(SEED)
@@ -94,8 +96,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def hashes(node: int, text: str) -> np.ndarray:
+            if node not in known:
+                known[node] = shingle_hashes(text)
+            return known[node]
+
         for batch in batches:
-            keep = [similar(shingle_hashes(x), shingle_hashes(y)) for x, y in rows_of([batch], "ta", "tb")]
+            keep = [similar(hashes(a, x), hashes(b, y)) for a, b, x, y in rows_of([batch], "a", "b", "ta", "tb")]
+            if sum(map(len, known.values())) > REMEMBERED:
+                known.clear()
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stash_texts(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "near-edges")
