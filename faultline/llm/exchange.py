@@ -157,12 +157,12 @@ def answers(stored: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
                 keys, counts = Block(row).entries()
                 # key ranges of equal width: key * shards / 2**64, from the upper half of the key
                 shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-                for k in range(shards):
-                    part = slice(int(cuts[k]), int(cuts[k + 1]))
-                    if part.stop > part.start:
-                        data = [[row["block"]], [k], [pack_sorted(keys[part])], [pack(counts[part].astype(np.int32))]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "shard", "keys", "counts"])
+                # a message for each shard that the block has a key of: never more messages than entries
+                starts = np.flatnonzero(np.diff(shard, prepend=np.uint64(shards)))
+                ends = np.append(starts[1:], len(keys))
+                for a, b in zip(starts.tolist(), ends.tolist()):
+                    data = [[row["block"]], [int(shard[a])], [pack_sorted(keys[a:b])], [pack(counts[a:b].astype(np.int32))]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "shard", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]

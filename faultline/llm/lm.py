@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from .exchange import BLOCK_TOKENS, Block, answers, blocks, joined, totals
 
 FOLDS, HELD = 7, 2
-#: Buckets of the context frequency (powers of two); EM steps;
-#: grid steps per power of two on which events are counted for EM.
-BUCKETS, EM_STEPS, GRID = 40, 60, 4
+#: Buckets of the context frequency (powers of two); EM steps; steps per power of two by which events are gathered in cells
+#: for EM (a cell keeps the exact sums of its logarithms, so it stands for its events' mean); steps per unit of a logarithm.
+BUCKETS, EM_STEPS, GRID, FINE = 40, 60, 4, 1 << 20
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(BUCKETS - 1, 1 + np.log2(np.maximum(context, 1)).astype(np.int64)), 0)
 
 
-def _grid(share: np.ndarray) -> np.ndarray:
-    """Grid number of a probability, -1 for 0."""
-    return np.where(share > 0, np.round(-np.log2(np.maximum(share, 1e-300)) * GRID), -1).astype(np.int64)
+def _bits(share: np.ndarray) -> np.ndarray:
+    """Negative binary logarithm of a probability in steps of ``1 / FINE``, -1 for 0: integers, so sums do not depend on their order."""
+    return np.where(share > 0, np.round(-np.log2(np.maximum(share, 1e-300)) * FINE), -1).astype(np.int64)
 
 
 def _own(group: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
@@ -35,8 +35,11 @@ def _own(group: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
     return counts[place]
 
 
+_CELLS = "bucket long, p2 long, p1 long, n long, bits2 long, bits1 long"
+
+
 def events(block: Block, words: np.ndarray, pairs: np.ndarray, total: int) -> pa.Table:
-    """Counts of (bucket, bigram share, unigram share) cells over a block, own documents deleted."""
+    """Counts and sums of logarithms of (bucket, bigram share, unigram share) cells over a block, own documents deleted."""
     use = block.learned[block.doc]
     doc, token, before, pair = block.doc[use], block.tokens[use].astype(np.int64), block.previous[use].astype(np.int64), block.pair[use]
     own_word = _own(doc, token, len(words))
@@ -46,17 +49,21 @@ def events(block: Block, words: np.ndarray, pairs: np.ndarray, total: int) -> pa
     context = words[before] - own_before
     p2 = np.where(context > 0, (pairs[pair] - own_pair) / np.maximum(context, 1), 0.0)
     p1 = (words[token] - own_word) / np.maximum(total - block.lengths[doc], 1)
-    cells = np.stack((_bucket(context), _grid(p2), _grid(p1)), axis=1)
-    found, counts = np.unique(cells, axis=0, return_counts=True)
-    return pa.Table.from_arrays([*(pa.array(found[:, k].astype(np.int64)) for k in range(3)), pa.array(counts.astype(np.int64))], ["bucket", "p2", "p1", "n"])
+    bits = np.stack((_bits(p2), _bits(p1)), axis=1)
+    cells = np.concatenate((_bucket(context)[:, None], np.where(bits < 0, -1, bits * GRID // FINE)), axis=1)
+    found, place, counts = np.unique(cells, axis=0, return_inverse=True, return_counts=True)
+    sums = np.zeros((len(found), 2), np.int64)
+    np.add.at(sums, place.reshape(-1), np.maximum(bits, 0))
+    return pa.Table.from_arrays([*(pa.array(found[:, k].astype(np.int64)) for k in range(3)), pa.array(counts.astype(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], [c.split()[0] for c in _CELLS.split(", ")])
 
 
 def learn_weights(cells: np.ndarray, floor: float) -> np.ndarray:
-    """``(BUCKETS, 3)`` weights of bigram, unigram and uniform from ``(bucket, p2, p1, n)`` rows, by EM.
+    """``(BUCKETS, 3)`` weights of bigram, unigram and uniform from sorted rows of cells (:data:`_CELLS`), by EM.
 
     A bucket without events takes the weights of all; bucket 0 (an unseen context) has no bigram part.
     """
-    shares = np.stack((np.where(cells[:, 1] >= 0, 2.0 ** (-cells[:, 1] / GRID), 0.0), np.where(cells[:, 2] >= 0, 2.0 ** (-cells[:, 2] / GRID), 0.0), np.full(len(cells), floor)), axis=1)
+    mean = lambda at: np.where(cells[:, at] >= 0, 2.0 ** (-cells[:, at + 3] / (np.maximum(cells[:, 3], 1) * FINE)), 0.0)
+    shares = np.stack((mean(1), mean(2), np.full(len(cells), floor)), axis=1)
 
     def fit(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
         weights, n = start, cells[rows, 3].astype(float)
@@ -99,13 +106,14 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held: int = HELD, block_token
     one end token, so a null or empty text has one token.  ``base_score`` is the add-one unigram's log10
     probability, ``score`` the interpolated model's; both spread what is unseen over one unknown word.  With
     nothing to learn from, both are those of an empty vocabulary.  A null id counts as an empty string; repeated
-    rows each count and each give a row; no rows give no rows.
+    rows each count and each give a row; no rows give no rows.  Whole texts count, of any length.  Weights come from all
+    blocks, in sums of integers: neither the blocks nor the input's partitions change a score.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     stored = blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold != held).alias("learned"), "text"), block_tokens)
     answered = answers(stored)
     distinct, total = totals(answered)
-    cells = joined(stored, answered, lambda b, w, p: events(b, w, p, total), "bucket long, p2 long, p1 long, n long")
-    cells = cells.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights(np.array([tuple(r) for r in cells], np.int64).reshape(-1, 4), 1 / (distinct + 1))
+    cells = joined(stored, answered, lambda b, w, p: events(b, w, p, total), _CELLS)
+    cells = cells.groupBy("bucket", "p2", "p1").agg(*(F.sum(c).alias(c) for c in ("n", "bits2", "bits1"))).collect()
+    weights = learn_weights(np.array(sorted(map(tuple, cells)), np.int64).reshape(-1, 6), 1 / (distinct + 1))
     return joined(stored, answered, lambda b, w, p: scores(b, w, p, total, distinct, weights), _SCORES)

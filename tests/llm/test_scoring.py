@@ -210,11 +210,56 @@ def test_weights_are_learned_on_all_blocks(spark):
     assert got[0] == pytest.approx(got[1])
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """Learned weights and more than eight blocks: the same scores to the last digit but for the order of a text's sum."""
+    df = spark.createDataFrame(lm_corpus(), "doc_id long, text string")
+    got = [{r.doc_id: r.score for r in lm.lm_scores(df.repartition(k), block_tokens=200).collect()} for k in (2, 5, 50)]
+    assert got[0] == pytest.approx(got[1], rel=1e-12) and got[0] == pytest.approx(got[2], rel=1e-12)
+
+
+def test_learned_scores_equal_a_plain_version(spark):
+    """Deleted interpolation by the definition, with every event by itself in EM."""
+    docs = [(i, t) for i, t in lm_corpus() if i != 503]
+    got = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), block_tokens=700).collect()}
+    learned = [tokens_of(t) for i, t in docs if zlib.crc32(str(i if i is not None else "").encode()) % 7 != 2]
+    uni, pair = Counter(), Counter()
+    for t in learned:
+        uni.update(t)
+        pair.update(zip([b"\n", *t], t))
+    n, floor = sum(uni.values()), 1 / (len(uni) + 1)
+    bucket = lambda c: min(lm.BUCKETS - 1, c.bit_length()) if c else 0
+    events = []
+    for t in learned:
+        own, twos = Counter(t), Counter(zip([b"\n", *t], t))
+        for a, b in zip([b"\n", *t], t):
+            context = uni[a] - own[a]
+            events.append((bucket(context), (pair[a, b] - twos[a, b]) / context if context else 0.0, (uni[b] - own[b]) / (n - len(t)), floor))
+
+    def fit(rows, start):
+        shares, weights = np.array([r[1:] for r in rows]), np.array(start)
+        for _ in range(lm.EM_STEPS):
+            parts = shares * weights
+            weights = (parts / parts.sum(axis=1)[:, None]).mean(axis=0)
+            weights = np.maximum(weights, 1e-9) / np.maximum(weights, 1e-9).sum()
+        return weights
+
+    every = fit(events, [0.4, 0.5, 0.1])
+    weights = {k: fit([e for e in events if e[0] == k], every) if any(e[0] == k for e in events) else every for k in range(lm.BUCKETS)}
+    weights[0] = np.array([0, *(weights[0][1:] + weights[0][0] * weights[0][1:] / weights[0][1:].sum())])
+    for i, text in docs:
+        t, want = tokens_of(text), 0.0
+        for a, b in zip([b"\n", *t], t):
+            w = weights[bucket(uni[a])]
+            want += log10(w[0] * (pair[a, b] / uni[a] if uni[a] else 0) + w[1] * uni[b] / n + w[2] * floor)
+        assert got[i] == pytest.approx(want, rel=5e-3)
+
+
 def test_model_is_a_distribution(spark):
     """Over every known word, the end and one unknown word, the mixture sums to 1 after any seen context."""
     uni = {b"a": 5, b"b": 3, b"\n": 2}
     total, distinct = 10, 3
-    weights = lm.learn_weights(np.array([[3, 4, 8, 20], [3, -1, 6, 5], [1, -1, -1, 2]]), 1 / (distinct + 1))
+    one = lm.FINE  # of a half: cells hold the sums of their events' logarithms
+    weights = lm.learn_weights(np.array([[3, 4, 8, 20, 20 * one, 40 * one], [3, -1, 6, 5, 0, 5 * one * 3 // 2], [1, -1, -1, 2, 0, 0]]), 1 / (distinct + 1))
     assert weights.sum(axis=1) == pytest.approx(1) and weights[0, 0] == 0
     pair = {b"a": 2, b"b": 2, b"\n": 1}
     mass = sum(weights[3, 0] * pair[w] / 5 + weights[3, 1] * uni[w] / total + weights[3, 2] / 4 for w in uni) + weights[3, 2] / 4
