@@ -358,27 +358,59 @@ def test_classify(spark):
 # languages
 
 
-def test_vectors_equal_the_definition():
-    profiler = langid.Profiler()
-    text = "Ab, c"
-    codes = [0, 1, 2, 0, 3, 0]
-    letters = [profiler.turned[0][c] for c in range(langid.CODES)]
-    want = np.zeros(langid.DIMENSIONS)
-    for k in range(len(codes) - 2):
+def plain_bundle(text):
+    """Sum over letter trigrams of the product of their letters' vectors, each rolled by its place (in words of 64 dimensions)."""
+    kept, last = [], False
+    for c in (text or "").lower():
+        if c.isalpha():
+            kept.append(ord(c))
+        elif last:
+            kept.append(0)
+        last = c.isalpha()
+    if not kept:
+        return np.zeros(langid.DIMENSIONS)
+    codes = [0, *kept, 0]
+    total = np.zeros(langid.DIMENSIONS)
+    for gram, n in Counter(zip(codes, codes[1:], codes[2:])).items():
         g = np.ones(langid.DIMENSIONS)
-        for j in range(3):
-            g *= np.roll(letters[codes[k + j]], j)
-        want += g
-    found, counts = profiler.counts(text)
-    assert (counts @ profiler.vectors(found) == want).all()
+        for j, point in enumerate(gram):
+            g = g * langid.signs(np.roll(langid.letter_bits(np.array([point])), j, axis=1))[0]
+        total += n * g
+    return total
+
+
+def test_vectors_equal_the_definition():
+    texts = ["Ab, c", "über Straße—naïve", None, "", "1 2 3!", "Привет, мир", "\U00030000\U00030001 x", "\U0001f3f4\U000e0067\U000e0062", "a"]
+    got, known = langid.Profiler().bundles(texts)
+    assert (got == np.array([plain_bundle(t) for t in texts])).all()
+    assert known.tolist() == [True, True, False, False, False, True, True, False, True]
+    vectors = langid.signs(langid.letter_bits(np.arange(2000)))
+    assert np.abs(vectors @ vectors.T / langid.DIMENSIONS - np.eye(2000)).max() < 0.2  # every letter its own
 
 
 def test_long_and_short_texts_count_alike():
-    profiler = langid.Profiler()
-    text = "one two three four " * 3000
-    long = profiler.counts(text)
-    got = np.unique(profiler.grams(text), return_counts=True)
-    assert (long[0] == got[0]).all() and (long[1] == got[1]).all()
+    """Three million characters in one text, and in a group with others."""
+    profiler, piece = langid.Profiler(), "one two three four "
+    times = 3_000_000 // len(piece)
+    one, two = (profiler.bundles([piece * k])[0][0] for k in (1, 2))
+    long = profiler.bundles(["x", piece * times, None])[0][1]
+    assert (long == one + (times - 1) * (two - one)).all()
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choices(SAID[lang].split(), k=rng.randrange(1, 9))), lang) for i, lang in enumerate(rng.choices(list(SAID), k=120))]
+    docs += [(500, "\U0001f3f4\U000e0067\U000e0062", "en"), (501, "\U00030000", None), (502, "日本語 テキスト", None)]
+    got = {r.doc_id: r for r in langid.identify(frame(spark, docs).repartition(5)).collect()}
+    names = sorted({lang for _, _, lang in docs if lang})
+    sums = {lang: sum(plain_bundle(t) for i, t, x in docs if x == lang and zlib.crc32(str(i).encode()) % 5) for lang in names}
+    for i, t, _ in docs:
+        v = plain_bundle(t)
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cosines = [round(float(v @ sums[x]) / np.linalg.norm(v) / np.linalg.norm(sums[x]), 9) for x in names]
+        assert got[i].lang_pred == names[int(np.argmax(cosines))] and got[i].score == pytest.approx(max(0.0, *cosines), abs=1e-8)
 
 
 SAID = {"en": "the house and the garden are in the old town with their trees", "de": "das haus und der garten sind in der alten stadt mit ihren bäumen", "fr": "la maison et le jardin sont dans la vieille ville avec leurs arbres"}
