@@ -7,7 +7,7 @@ Blocks are cut from the source's documents in a shuffled order (by MD5 of the id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, stash, word_count
@@ -20,13 +20,15 @@ GOLDEN = 0.6180339887498949
 GRID, SMALL_ROWS = 1024, 20_000
 #: Blocks below which a source's target is taken to the word, as slots alone would miss it or overshoot.
 NEAR_BLOCKS = 256
+#: Blocks of a piece, by which slots meet documents.
+PIECE_BLOCKS = 4
 #: Shuffle buckets of a source at least, so that a source with a third of all rows is spread.
 MIN_BUCKETS = 256
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)``: words per document, 0 for null text."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, source, size)``: words per document, 0 for null text; with ``keep``, a number ``__row`` and those columns too."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.monotonically_increasing_id().alias("__row"), *keep] if keep else []))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -94,12 +96,12 @@ def schedule(spark, goals: DataFrame, count: int) -> DataFrame:
 
 
 def slot_counts(spark, goals: DataFrame, count: int) -> DataFrame:
-    """``place, slots``: how many slots each source has in the schedule (all that the digest needs)."""
+    """``place, slots``: how many slots each source has in the schedule."""
     return _slots(spark, goals, count).groupBy("place").agg(F.count("*").alias("slots"))
 
 
 def spans(sized: DataFrame, goals: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Where each document lies in its source's shuffled stream: ``doc_id, size, place, start`` (words).
+    """Where each document lies in its source's shuffled stream: ``doc_id, size, place, start`` (words), and ``__row`` if given.
 
     The shuffle orders by MD5 of the id.  Offsets are prefix sums in two steps, over buckets of leading hash
     digits and within a bucket, so a source with a third of all rows is spread over many tasks.
@@ -107,7 +109,8 @@ def spans(sized: DataFrame, goals: DataFrame, bucket_docs: int = BUCKET_DOCS) ->
     count = sized.count()
     buckets = max(MIN_BUCKETS, -(-count // bucket_docs))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = sized.select("doc_id", "source", "size", key.alias("key"))
+    names = ["doc_id", "size", *(["__row"] if "__row" in sized.columns else [])]
+    rows = sized.select(*names, "source", key.alias("key"))
     lead = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.floor(lead * buckets / F.lit(1 << 28)))
     places = small_side(goals.select(F.col("source").alias("__source"), "place"), SMALL_ROWS)
@@ -117,7 +120,7 @@ def spans(sized: DataFrame, goals: DataFrame, bucket_docs: int = BUCKET_DOCS) ->
     sums = sums.select("place", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy("place", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(sums, ["place", "bucket"]).select("doc_id", "size", "place", (F.col("base") + F.col("within")).alias("start"))
+    return rows.join(sums, ["place", "bucket"]).select(*names, "place", (F.col("base") + F.col("within")).alias("start"))
 
 
 def _plan(spark, goals: DataFrame, slots: int | None) -> tuple[DataFrame, int, int]:
@@ -133,58 +136,60 @@ def _plan(spark, goals: DataFrame, slots: int | None) -> tuple[DataFrame, int, i
     return drawn.withColumn("words", F.least("cap", words)), block, count
 
 
-def _taken(words: Column) -> Column:
-    """Words of ``[start, start + size)`` that the first ``words`` words of the repeated source stream cover."""
-    whole = F.expr("words div source_size") * F.col("size")
-    rest = F.pmod(words, F.col("source_size"))
-    return whole + F.greatest(F.lit(0), F.least(rest, F.col("start") + F.col("size")) - F.col("start"))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int | None = None) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken``.
-
-    ``taken`` counts the words that the schedule's blocks take from the document, repeats included; a source's
-    last block is cut at its cap, and small sources take their rounded target (see :func:`_plan`), so no document exceeds ``max_epochs`` times its size.  Null text has size 0;
-    a null source is a source of its own, last; repeated rows are documents of their own; empty sources have
-    target 0; no rows give no rows.  Reruns agree: the order depends on ids alone.
-    """
-    spark = docs.sparkSession
-    sized = stash(sizes(docs), "mix-sizes")
-    goals = stash(targets(sized, weights, max_epochs), "mix-targets")
-    plan = _plan(spark, goals, slots)[0].select("place", "source", "source_size", "target", "words")
-    placed = spans(sized, goals).join(small_side(plan, SMALL_ROWS), "place")
-    taken = F.when(F.col("source_size") > 0, _taken(F.col("words"))).otherwise(F.lit(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def stream(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int | None = None) -> DataFrame:
-    """The mix itself: ``slot, source, doc_id, first, words`` rows, in slot order the words to read.
+def _mixed(spark, sized: DataFrame, weights: tuple[int, ...], max_epochs: int, slots: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sources' plan, where documents lie, and the schedule joined with them: ``slot, lap, place, source, start, doc_id, first, words``.
 
     A slot's block ``[rank * block, (rank + 1) * block)`` of the repeated stream meets documents through the
     pieces that both are cut into (an equi-join on source and piece), never through a range join.
     """
-    spark = docs.sparkSession
-    sized = stash(sizes(docs), "mix-sizes")
     goals = stash(targets(sized, weights, max_epochs), "mix-targets")
     plan, block, count = _plan(spark, goals, slots)
-    piece = 16 * block
+    plan, where = stash(plan, "mix-plan"), stash(spans(sized, goals), "mix-spans")
+    piece = PIECE_BLOCKS * block
     # an exact source that no slot fell to has one of its own, where its share lies
     missed = plan.filter("exact and slots = 0").select(F.floor(F.col("lo") * count).alias("slot"), "place", F.lit(0).cast("long").alias("rank"))
-    plan = small_side(plan.select("place", "source", "source_size", "words", "exact", F.greatest("slots", F.lit(1)).alias("slots")), SMALL_ROWS)
-    slots = schedule(spark, goals, count).select("slot", "place", "rank").union(missed).join(plan, "place")
+    given = small_side(plan.select("place", "source", "source_size", "words", "exact", F.greatest("slots", F.lit(1)).alias("slots")), SMALL_ROWS)
+    drawn = schedule(spark, goals, count).select("slot", "place", "rank").union(missed).join(given, "place")
     share = lambda rank: F.when(F.col("exact"), F.floor(rank * F.col("words") / F.col("slots"))).otherwise(F.least("words", rank * block))
-    slots = slots.withColumn("at", share(F.col("rank"))).withColumn("length", share(F.col("rank") + 1) - F.col("at")).filter("length > 0 and source_size > 0")
+    drawn = drawn.withColumn("at", share(F.col("rank"))).withColumn("length", share(F.col("rank") + 1) - F.col("at")).filter("length > 0 and source_size > 0")
     # a block may wrap around the end of its source, several times if the source is tiny
     laps = F.explode(F.sequence(F.expr("at div source_size"), F.expr("(at + length - 1) div source_size")))
-    slots = slots.withColumn("lap", laps)
+    drawn = drawn.withColumn("lap", laps)
     lo = F.greatest(F.lit(0), F.col("at") - F.col("lap") * F.col("source_size"))
     hi = F.least(F.col("source_size"), F.col("at") + F.col("length") - F.col("lap") * F.col("source_size"))
-    slots = slots.withColumn("lo", lo).withColumn("hi", hi)
-    slots = slots.withColumn("piece", F.explode(F.sequence(F.expr(f"lo div {piece}"), F.expr(f"(hi - 1) div {piece}"))))
-    where = spans(sized, goals).filter("size > 0")
-    where = where.withColumn("piece", F.explode(F.sequence(F.expr(f"start div {piece}"), F.expr(f"(start + size - 1) div {piece}"))))
-    met = slots.join(where, ["place", "piece"])
+    drawn = drawn.withColumn("lo", lo).withColumn("hi", hi)
+    drawn = drawn.withColumn("piece", F.explode(F.sequence(F.expr(f"lo div {piece}"), F.expr(f"(hi - 1) div {piece}")))).select("slot", "lap", "source", "place", "piece", "lo", "hi")
+    cut = where.filter("size > 0").select("doc_id", "size", "place", "start")
+    cut = cut.withColumn("piece", F.explode(F.sequence(F.expr(f"start div {piece}"), F.expr(f"(start + size - 1) div {piece}"))))
+    met = drawn.join(cut, ["place", "piece"])
     edge_lo = F.greatest("lo", "start", F.col("piece") * piece)
     edge_hi = F.least(F.col("hi"), F.col("start") + F.col("size"), (F.col("piece") + 1) * piece)
     met = met.withColumn("from", edge_lo).withColumn("upto", edge_hi).filter("upto > from")
-    return met.select("slot", "lap", "source", "doc_id", (F.col("from") - F.col("start")).alias("first"), (F.col("upto") - F.col("from")).alias("words"))
+    return plan, where, met.select("slot", "lap", "place", "source", "start", "doc_id", (F.col("from") - F.col("start")).alias("first"), (F.col("upto") - F.col("from")).alias("words"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``doc_id, source, size, source_size, target, taken``, and the columns ``keep`` of ``docs``.
+
+    ``taken`` counts the words that the schedule's slots, joined with the shuffled documents, read of the document, repeats
+    included; a source's last block is cut at its cap, and small sources take their rounded target (see :func:`_plan`), so no
+    document exceeds ``max_epochs`` times its size.  Null text has size 0; whole texts count, of any length; a null source is a source
+    of its own, last; repeated rows are documents of their own; empty sources have target 0; no rows give no rows.  Reruns
+    agree: the order depends on ids alone, ties between equal ids go to the smaller size, and equal rows share what they take.
+    """
+    spark = docs.sparkSession
+    sized = stash(sizes(docs, keep), "mix-sizes")
+    plan, where, met = _mixed(spark, sized, weights, max_epochs, slots)
+    per = met.groupBy("place", "start").agg(F.sum("words").alias("read")).select(F.col("place").alias("__place"), F.col("start").alias("__start"), "read")
+    read = where.join(per, (F.col("place") == F.col("__place")) & (F.col("start") == F.col("__start")) & (F.col("size") > 0), "left")
+    placed = read.join(small_side(plan.select("place", "source", "source_size", "target"), SMALL_ROWS), "place")
+    if keep:
+        placed = placed.join(sized.select("__row", *(F.col(c).alias(f"__keep_{c}") for c in keep)), "__row")
+    kept = [F.col(f"__keep_{c}").alias(c) for c in keep]
+    return placed.select("doc_id", "source", "size", "source_size", "target", F.coalesce("read", F.lit(0)).cast("long").alias("taken"), *kept)
+
+
+def stream(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int | None = None) -> DataFrame:
+    """The mix itself: ``slot, lap, source, doc_id, first, words`` rows, in slot order the words to read."""
+    met = _mixed(docs.sparkSession, stash(sizes(docs), "mix-sizes"), weights, max_epochs, slots)[2]
+    return met.select("slot", "lap", "source", "doc_id", "first", "words")
