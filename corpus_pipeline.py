@@ -2,6 +2,8 @@
 
 Documents that are predicted toxic go; later occurrences of repeated three-line windows are cut; one document of
 each near-duplicate group stays; documents that hold a benchmark item go; the rest is mixed to target weights.
+In every stage a row is judged by its own text, also where rows share an id; null texts stay, as texts without
+words are copies of each other only; ties go to the smaller id; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows not predicted toxic; other rows, null texts and ids among them, are as they came."""
+    """Rows not predicted toxic, as they came; rows without an id stay."""
     return toxicity.keep_civil(docs.select(*COLUMNS), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
@@ -28,18 +30,24 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near copies: Jaccard similarity 0.8 or more on five-word shingles."""
+    """The row with the smallest id of each group of near copies: Jaccard similarity 0.8 or more on five-word shingles.
+
+    Rows without an id stay, and so do equal rows of a kept id.
+    """
     return nearcopies.keep_one_per_group(docs.select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item; rows without an id stay."""
     return decontaminate.keep_clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each row, and its source's target."""
-    return mixing.mix(docs.select("doc_id", "source", "text"))
+    """How many words the mix takes of each row, and its source's target, beside the row's text and language.
+
+    Every row is a document of its own, also if its id is null or repeats; a null source is one more source.
+    """
+    return mixing.mix(docs.select("doc_id", "source", "lang", "text"), keep=("lang", "text"))
 
 
 STAGES = [

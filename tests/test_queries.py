@@ -1,6 +1,8 @@
 """Every registered query of the library's own runs on the smallest tables and agrees with its SQL."""
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -47,3 +49,10 @@ def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
     if Path(SF).exists():
         assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_queries_stay_without_the_extras():
+    """A module that the extras need and that is missing costs the extras only."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
