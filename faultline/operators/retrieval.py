@@ -13,8 +13,8 @@ from ..functions.sizes import small_side
 from .text import tokens
 
 K1, B, TOP, RRF_K = 1.5, 0.75, 50, 60
-#: Queries that an exact vector search takes at once, which bounds what it broadcasts.
-QUERY_LIMIT = 10_000
+#: Queries of a block that an exact vector search sends to its tasks at once, which bounds what it broadcasts.
+QUERY_BLOCK = 10_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,13 +67,15 @@ def dot(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = TOP) -> DataFrame:
     """RET-03: exact search by dot product of a stated query set ``(query_id, query_vector)``; scores over 0 only.
 
-    The queries, ``QUERY_LIMIT`` at most, are one broadcast block that every vector meets, so a vector's row is
-    not shuffled before it is scored; the best ``k`` of each task are kept before the shuffle (a grouped limit).
+    Queries are packed in blocks of about ``QUERY_BLOCK``.  One block is broadcast, so a vector's row is not shuffled
+    before it is scored; several are joined by their number, which every vector names.  The best ``k`` of each task are kept
+    before the shuffle (a grouped limit).
     """
-    if queries.limit(QUERY_LIMIT + 1).count() > QUERY_LIMIT:
-        raise ValueError(f"exact search takes up to {QUERY_LIMIT} queries at a time; use an index for more")
-    blocks = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("qs")))
-    met = blocks.join(vectors.select(key, F.col(vector).alias("__v")))
+    count = -(-queries.count() // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, count))).cast("int")
+    packed = queries.groupBy(block.alias("__block")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("qs"))
+    named = vectors.select(key, F.col(vector).alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(max(1, count) - 1))).alias("__block"))
+    met = named.join(F.broadcast(packed) if count <= 1 else packed, "__block")
     each = met.select(key, "__v", F.inline("qs"))
     scored = each.select("query_id", key, dot(F.col("__v"), F.col("query_vector")).alias("score")).filter("score > 0")
     return _top(scored, key, k).select("query_id", key, "score", "rank0")

@@ -12,25 +12,41 @@ from .registry import query
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated query set: benchmark items 0 to 9 with the vectors of the same ids."""
-    items = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    vectors = table(spark, sf_dir, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return items.join(vectors, "query_id")
+    """The query set of keyword search: every benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-BM25 = """
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of vector search: every vector whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def asked_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of hybrid search: every benchmark item that has a vector of the same id."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return asked(spark, sf_dir).join(vectors, "query_id")
+
+
+def bm25_sql(condition: str = "true") -> str:
+    return f"""
 t AS (SELECT doc_id, list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM documents),
 n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS term FROM benchmark WHERE {condition}) GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT query_id, doc_id, sum(qtf * greatest(0, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN d USING (term) JOIN q USING (term), n GROUP BY ALL HAVING score > 0),
 sparse AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank0 FROM s QUALIFY rank0 < 50)
 """
-DENSE = """
-v AS (SELECT a.vec_id AS doc_id, b.vec_id AS query_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score FROM embeddings a, embeddings b WHERE b.vec_id < 10),
+
+
+def dense_sql(condition: str) -> str:
+    return f"""
+v AS (SELECT a.vec_id AS doc_id, b.vec_id AS query_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score FROM embeddings a, embeddings b WHERE {condition}),
 dense AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank0 FROM v WHERE score > 0 QUALIFY rank0 < 50)
 """
+
+
+ALL_BM25, BM25, DENSE = bm25_sql(), bm25_sql("item_id IN (SELECT vec_id FROM embeddings)"), dense_sql("b.vec_id IN (SELECT item_id FROM benchmark)")
 FUSED = "f AS (SELECT query_id, doc_id, sum(w / (60 + rank0 + 1)) AS score FROM (SELECT *, 0.6::DOUBLE AS w FROM dense UNION ALL SELECT *, 0.4::DOUBLE FROM sparse) GROUP BY ALL)"
 
 
@@ -38,21 +54,21 @@ def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.withColumn("score", F.round("score", digits)).withColumn("rank0", F.col("rank0").cast("long"))
 
 
-@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 8) AS score, rank0 FROM sparse")
+@query(f"WITH {ALL_BM25} SELECT query_id, doc_id, round(score, 8) AS score, rank0 FROM sparse")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-01, RET-02, AGG-04, AGG-12, WIN-10."""
     return _rounded(retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", asked(spark, sf_dir)))
 
 
-@query(f"WITH {DENSE} SELECT query_id, doc_id, round(score, 8) AS score, rank0 FROM dense")
+@query(f"WITH {dense_sql('b.vec_id % 50 = 0')} SELECT query_id, doc_id, round(score, 8) AS score, rank0 FROM dense")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-03."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return _rounded(retrieval.dense(vectors, "doc_id", "embedding", asked(spark, sf_dir)))
+    return _rounded(retrieval.dense(vectors, "doc_id", "embedding", asked_vectors(spark, sf_dir)))
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return _rounded(retrieval.hybrid(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "embeddings"), "vec_id", "embedding", asked(spark, sf_dir), **options))
+    return _rounded(retrieval.hybrid(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "embeddings"), "vec_id", "embedding", asked_both(spark, sf_dir), **options))
 
 
 @query(f"WITH {BM25}, {DENSE}, {FUSED} SELECT query_id, doc_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank0 FROM f QUALIFY rank0 < 10")
@@ -83,7 +99,7 @@ WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda
 
 
 @query(
-    f"""WITH {BM25}, r AS (SELECT sparse.query_id, sparse.doc_id, rank0, {WORDS.format("b.text")} AS a, {WORDS.format("d.text")} AS t FROM sparse JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = sparse.query_id WHERE rank0 < 20),
+    f"""WITH {ALL_BM25}, r AS (SELECT sparse.query_id, sparse.doc_id, rank0, {WORDS.format("b.text")} AS a, {WORDS.format("d.text")} AS t FROM sparse JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = sparse.query_id WHERE rank0 < 20),
 o AS (SELECT query_id, doc_id, rank0, len(list_intersect(a, t)) / len(a)::DOUBLE AS s FROM r)
 SELECT query_id, doc_id, round(s, 6) AS rerank_score FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank0, doc_id) <= 5"""
 )
