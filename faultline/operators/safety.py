@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -33,19 +33,22 @@ def block_below(spark, threshold: int, seq: int) -> DataFrame:
 def from_bounds(bounds: DataFrame, seq: int = 0) -> DataFrame:
     """SAF-06: block rules from ``(name, device_type, sensor_id, devices)``, flat or nested.
 
-    ``devices`` maps a device type to sensor ids; a row with both fields of the flat form uses those.
+    ``devices`` maps a device type to sensor ids; a row with both fields of the flat form uses those.  Rules are numbered by the
+    order of the rows' contents, not by where the rows lie; as all of them block, their order among each other has no effect.
     """
     flat = bounds.filter("device_type is not null and sensor_id is not null").select("name", "device_type", "sensor_id")
     nested = bounds.filter("(device_type is null or sensor_id is null) and devices is not null")
     nested = nested.select("name", F.explode("devices").alias("d", "ids")).select("name", F.col("d").cast("int").alias("device_type"), F.explode("ids").alias("sensor_id"))
     every = flat.union(nested)
-    return every.select((F.monotonically_increasing_id() + seq).alias("rule_seq"), "device_type", "sensor_id", F.lit(PHYSICAL_IMPOSSIBLE).alias("severity"), F.lit(False).alias("allow"))
+    every = every.withColumn("rule_seq", F.row_number().over(Window.orderBy("name", "device_type", "sensor_id")).cast("long") - 1 + seq)  # a table of settings, of the size of SMALL_RULES
+    return every.select("rule_seq", "device_type", "sensor_id", F.lit(PHYSICAL_IMPOSSIBLE).alias("severity"), F.lit(False).alias("allow"))
 
 
 def from_allowlist(entries: DataFrame, seq: int = 0) -> DataFrame:
-    """SAF-06: allow rules from ``(device_type, sensor_id, severities)``; severity 0 where none is given."""
+    """SAF-06: allow rules from ``(device_type, sensor_id, severities)``; severity 0 where none is given.  Numbered by contents."""
     each = entries.select("device_type", "sensor_id", F.explode(F.coalesce("severities", F.array(F.lit(0)))).alias("severity"))
-    return each.select((F.monotonically_increasing_id() + seq).alias("rule_seq"), "device_type", "sensor_id", F.col("severity").cast("int").alias("severity"), F.lit(True).alias("allow"))
+    each = each.withColumn("rule_seq", F.row_number().over(Window.orderBy("device_type", "sensor_id", "severity")).cast("long") - 1 + seq)  # a table of settings, of the size of SMALL_RULES
+    return each.select("rule_seq", "device_type", "sensor_id", F.col("severity").cast("int").alias("severity"), F.lit(True).alias("allow"))
 
 
 def effective(rules: DataFrame) -> DataFrame:

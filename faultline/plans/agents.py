@@ -68,11 +68,33 @@ def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("alarm_id", r["alarm_tag"].alias("tag"), "route", r["requires_manual_inspection"].alias("manual"), F.size(r["matched_fmea"]).cast("long").alias("entries"), F.size("history").alias("said"))
 
 
-@query()
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ENTRIES = ", ".join(f"('{p}', {k}, '{m}', {s}, {o}, {d}, {r}, {c}::DOUBLE, {quoted(w)}, {quoted(a)})" for k, (p, m, s, o, d, r, c, w, a, _i) in enumerate(fixed.FAILURE_BASE))
+
+
+@query(
+    f"""WITH a AS (SELECT event_id AS alarm_id, ['TE', 'PT', 'FT', 'FV', 'LT', 'XX'][(user_id % 6 + 1)::INT] || '-' || (301 + user_id % 3) AS tag, round(value, 1) AS value FROM events WHERE event_type = 'error'),
+b(prefix, k, mode, s, o, d, rpn, conf, cause, act) AS (VALUES {ENTRIES}),
+m AS (SELECT a.alarm_id, a.tag, a.value, b.*, row_number() OVER (PARTITION BY alarm_id ORDER BY conf * s DESC, k) AS r FROM a LEFT JOIN b ON b.prefix = left(a.tag, 2) AND conf >= 0.6),
+t AS (SELECT alarm_id, any_value(tag) AS tag, any_value(value) AS value, count(mode) AS n, coalesce(max(conf), 0) AS conf, arg_min(mode, r) AS top, arg_min(conf, r) AS top_conf,
+  string_agg(printf('  [%d] %s (S=%d, O=%d, D=%d, RPN=%d, conf=%.2f)', r, mode, s, o, d, rpn, conf), chr(10) ORDER BY r) AS lines,
+  coalesce(string_agg(concat_ws('/', mode, s, o, d, rpn, conf, cause, act), '|' ORDER BY r), '') AS matched FROM m GROUP BY alarm_id)
+SELECT alarm_id, tag, matched, n = 0 AS manual,
+  CASE WHEN n = 0 THEN printf({quoted(fixed.FALLBACK_SUMMARY)}, '{AT}', tag, conf, n, tag)
+    ELSE concat_ws(chr(10), 'FMEA Diagnostic Report — {AT}', printf('Trigger: %s (value: %s)', tag, value::VARCHAR), printf('Matches found: %d', n), printf('Overall confidence: %.2f', conf), lines) END AS summary,
+  concat_ws(' | ', printf('Last alarm: %s=%s', tag, value::VARCHAR), CASE WHEN n > 0 THEN printf('Top FMEA: %s (conf=%.2f)', top, top_conf) END, CASE WHEN n > 0 THEN printf('Confidence: %.2f', conf) END, CASE WHEN n = 0 THEN '⚠ Fallback triggered' END) AS digest
+FROM t"""
+)
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGT-03, AGT-04, TXT-18: summaries and digests as text."""
+    """AGT-03, AGT-04, TXT-18: reports with their summaries and digests as text."""
     out = agent.state_digests(agent.diagnose(alarms(spark, sf_dir), agent.failure_base(spark), agent.topology(spark), F.lit(AT)))
-    return out.select("alarm_id", F.to_json("report").alias("report"), "digest")
+    r = F.col("report")
+    entry = lambda m: F.concat_ws("/", *(m[n].cast("string") for n in ("failure_mode", "severity", "occurrence", "detection", "rpn", "confidence", "cause", "recommended_action")))
+    matched = F.array_join(F.transform(r["matched_fmea"], entry), "|")
+    return out.select("alarm_id", r["alarm_tag"].alias("tag"), matched.alias("matched"), r["requires_manual_inspection"].alias("manual"), r["diagnostic_summary"].alias("summary"), "digest")
 
 
 @query(

@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions import recurrences as rec
 from ..operators import align, features, filters, quantize, segments, simulate, transforms
 from ..session import table
+from . import transform_sql
 from .registry import ORACLES, query
 
 ORDER = ("ts", "event_id")
@@ -171,11 +172,22 @@ def daf_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("user_id", "window_id", F.col("n").cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
-@query()
+def _annealed_windows(spark: SparkSession, sf_dir: str, shared: bool) -> DataFrame:
+    out = filters.annealed_windows(events(spark, sf_dir), "user_id", ORDER, "value", r=400.0, q=1.0, p0=1e4, shared=shared)
+    total = F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)
+    return out.select("user_id", "window_id", "n", "n_outliers", "converged", "iterations", F.round(total, 6).alias("weight"))
+
+
+@query(transform_sql.window_annealing(32, 16, 1.0, 400.0, 1e4, rec.annealing_schedule()[:4], shared=False))
 def daf_window_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-12."""
-    out = filters.annealed_windows(events(spark, sf_dir), "user_id", ORDER, "value", r=400.0, q=1.0, p0=1e4)
-    return out.select("user_id", "window_id", "n", "n_outliers", "converged", "iterations")
+    """FLT-12, each value against its own cut."""
+    return _annealed_windows(spark, sf_dir, shared=False)
+
+
+@query(transform_sql.window_annealing(32, 16, 1.0, 400.0, 1e4, rec.annealing_schedule()[:4], shared=True))
+def daf_window_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-12, all values against the joint sum."""
+    return _annealed_windows(spark, sf_dir, shared=True)
 
 
 EWMA = f"""
@@ -331,7 +343,7 @@ def window_pairs(readings: DataFrame, n: int = 40) -> DataFrame:
     return pairs.filter("b is not null or window = 0").select("user_id", "window", "a", "b")
 
 
-@query()
+@query(transform_sql.warping(40, 10))
 def dtw_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALN-05 to ALN-07: each window of 40 values of a user against the next, over the whole history, in a band; null where there is no next."""
     pairs = window_pairs(events(spark, sf_dir)).withColumn("key", F.concat_ws("/", "user_id", "window"))
@@ -513,20 +525,28 @@ def blocks(readings: DataFrame, n: int) -> DataFrame:
     return held.withColumn("name", F.concat_ws("/", "event_type", "block"))
 
 
-@query()
+def _values(blocks: DataFrame) -> DataFrame:
+    """Signals as rows: ``event_type, block, place, value``."""
+    spread = blocks.select("event_type", F.col("block").cast("long").alias("block"), F.posexplode("signal").alias("place", "value"))
+    return spread.withColumns({"place": F.col("place").cast("long"), "value": F.round("value", 4)})
+
+
+@query(transform_sql.denoising({None: ("db4", 3, "universal")}))
 def wavelet_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WAV-01 to WAV-07."""
-    out = transforms.denoise(series(spark, sf_dir), "signal", level=3, clip=True)
-    return out.select("event_type", "block", F.transform("signal", lambda x: F.round(x, 6)).alias("signal"))
+    return _values(transforms.denoise(series(spark, sf_dir), "signal", level=3, clip=True))
+
+
+#: Signal classes of event types.
+CLASSES = {"click": "pressure", "view": "flow", "signup": "temperature", "purchase": "valve"}
 
 
-@query()
+@query(transform_sql.denoising({**{k: fixed.WAVELET_CLASSES[c] for k, c in CLASSES.items()}, None: ("db4", 2, "universal")}))
 def wavelet_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WAV-08: settings by signal class."""
-    kinds = F.create_map(*(F.lit(x) for pair in (("click", "pressure"), ("view", "flow"), ("signup", "temperature"), ("purchase", "valve")) for x in pair))
+    kinds = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
     rows = series(spark, sf_dir).withColumn("class", F.try_element_at(kinds, F.col("event_type")))
-    out = transforms.denoise(rows, "signal", fixed.WAVELET_CLASSES, "class", clip=True)
-    return out.select("event_type", "block", F.transform("signal", lambda x: F.round(x, 6)).alias("signal"))
+    return _values(transforms.denoise(rows, "signal", fixed.WAVELET_CLASSES, "class", clip=True))
 
 
 @query(
@@ -540,7 +560,7 @@ def wavelet_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", *(F.round(transforms.threshold_column(s, n, v, m), 6).alias(m) for m in ("universal", "sure", "bayes")))
 
 
-@query()
+@query(transform_sql.scalograms(16))
 def scalogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-01 to SCL-03."""
     out = transforms.scalogram(series(spark, sf_dir), "name", "signal", 16, logged=True)

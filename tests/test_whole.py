@@ -32,8 +32,8 @@ def test_blocks_cover_every_event(spark, tmp_path):
     kinds = Counter(k for _, _, k, _ in rows)
     for query in (signals.wavelet_denoise, signals.wavelet_by_class):
         got = query(spark, str(tmp_path)).collect()
-        assert {k: sum(len(r.signal) for r in got if r.event_type == k) for k in kinds} == kinds
-        assert sorted(len(r.signal) for r in got if r.event_type == "click") == [256, 265]
+        assert Counter(r.event_type for r in got) == kinds and len({(r.event_type, r.block, r.place) for r in got}) == len(rows)
+        assert sorted(Counter(r.block for r in got if r.event_type == "click").values()) == [256, 265]
     got = {r.name for r in signals.scalogram(spark, str(tmp_path)).collect()}
     assert got == {"click/0", "click/1", "view/0", "temperature/0", "signup/0", "signup/1"}
     assert transforms.max_level(3, "db4") == 0
