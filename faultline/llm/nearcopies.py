@@ -30,6 +30,8 @@ SHINGLE_WORDS, BANDS, ROWS, SEED, _CHUNK = 5, 20, 4, 42, 2048
 SMALL_NODES = 100_000
 #: Shingle hashes that a verifying task remembers from batch to batch.
 REMEMBERED = 1 << 22
+#: Cells by which the sets of a pair are compared before the pair is proposed.
+CELLS = 128
 #: Growth of set sizes from one class of the similarity join to the next.
 CLASS_STEP = 1.05
 _RNG = np.random.default_rng(SEED)
@@ -126,26 +128,32 @@ def _by_prefix(docs: DataFrame, members: DataFrame) -> DataFrame:
     In an order of all shingles, rarest first, the first shingle that a similar pair shares lies so early in both sets that
     the rest can hold the overlap: in the first ninth of the smaller set, and in a place of the larger one that bounds the
     sizes it can be paired with.  Sizes meet by classes, so shingles that a whole group shares late in its order pair nothing.
+    Of pairs that meet, those go whose shingles, counted in ``CELLS`` cells by hash, differ in more places than a ninth of both
+    sizes: the sets themselves then differ in more.
     """
     texts = _texts(docs, members.select("node", "key")).join(members.select("node", "root"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, root, text in rows_of([batch], "node", "root", "text"):
-                hashes = shingle_hashes(text).view(np.int64)
-                same = [np.full(len(hashes), x, np.int64) for x in (node, root, len(hashes))]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(hashes)], ["node", "root", "n", "h"])
-
-    sets = stash_texts(texts.select("node", "root", "text").mapInArrow(run, "node long, root long, n long, h long"), "near-shingles")
-    often = sets.groupBy("h").agg(F.count("*").alias("often"))
-    ranked = sets.join(often, "h").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("often", "h")))
-    ranked = stash(ranked.filter("often > 1 and i <= n - (4 * n + 4) div 5 + 1"), "near-prefixes")
+            found = [shingle_hashes(t) for (t,) in rows_of([batch], "text")]
+            cells = [np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) for h in found]
+            arrays = [pa.array([len(h) for h in found], pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), *arrays], ["node", "root", "n", "hashes", "cells"])
+
+    sets = stash_texts(texts.select("node", "root", "text").mapInArrow(run, "node long, root long, n long, hashes array<bigint>, cells array<int>"), "near-shingles")
+    each = sets.select("node", "n", F.explode("hashes").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "h").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("often", "h")))
+    ranked = ranked.filter("often > 1 and i <= n - (4 * n + 4) div 5 + 1").select("node", "h", "i")
+    ranked = stash(ranked.join(sets.select("node", "root", "n", "cells"), "node"), "near-prefixes")
     size_class = lambda size: F.floor(F.log(size) / F.lit(float(np.log(CLASS_STEP)))).cast("int")
-    small = ranked.filter("i <= n - (8 * n + 8) div 9 + 1").select("h", size_class(F.col("n")).alias("class"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    small = ranked.filter("i <= n - (8 * n + 8) div 9 + 1").select("h", size_class(F.col("n")).alias("class"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("cells").alias("ca"))
     large = ranked.withColumns({"least": F.expr("(4 * n + 4) div 5"), "most": F.least("n", F.expr("(9 * (n - i + 1) - 4 * n) div 4"))}).filter("least <= most")
     classes = F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most"))))
-    large = large.select("h", classes.alias("class"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "least", "most")
-    met = small.join(large, ["h", "class"]).filter("ra <> rb and na between least and most and (na < nb or a < b)")
+    large = large.select("h", classes.alias("class"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "least", "most", F.col("cells").alias("cb"))
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    near = (F.col("ra") != F.col("rb")) & F.col("na").between(F.col("least"), F.col("most")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))) & (apart * 9 <= F.col("na") + F.col("nb"))
+    met = small.withColumnsRenamed({"h": "h1", "class": "class1"}).join(large, (F.col("h") == F.col("h1")) & (F.col("class") == F.col("class1")) & near)
     return met.select("a", "b").distinct()
 
 
