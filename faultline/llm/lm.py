@@ -18,6 +18,8 @@ FOLDS, HELD = 7, 2
 #: Buckets of the context frequency (powers of two); EM steps; steps per power of two by which events are gathered in cells
 #: for EM (a cell keeps the exact sums of its logarithms, so it stands for its events' mean); steps per unit of a logarithm.
 BUCKETS, EM_STEPS, GRID, FINE = 40, 60, 4, 1 << 20
+#: Grid places, more than the 64 powers of two of a count take.
+PLACES = 64 * GRID + 2
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -43,18 +45,23 @@ def events(block: Block, words: np.ndarray, pairs: np.ndarray, total: int) -> pa
     use = block.learned[block.doc]
     doc, token, before, pair = block.doc[use], block.tokens[use].astype(np.int64), block.previous[use].astype(np.int64), block.pair[use]
     own_word = _own(doc, token, len(words))
-    # a context occurs in its document as often as it is a previous token there
-    own_before = _own(doc, before, len(words))
+    # the contexts of a document are its tokens, the end first: each position's context is the token before it
+    first = np.diff(doc, prepend=-1) > 0
+    own_before = np.roll(own_word, 1)
+    own_before[first] = own_word[np.append(np.flatnonzero(first)[1:], len(doc))[: first.sum()] - 1]
     own_pair = _own(doc, pair, len(pairs))
     context = words[before] - own_before
     p2 = np.where(context > 0, (pairs[pair] - own_pair) / np.maximum(context, 1), 0.0)
     p1 = (words[token] - own_word) / np.maximum(total - block.lengths[doc], 1)
-    bits = np.stack((_bits(p2), _bits(p1)), axis=1)
-    cells = np.concatenate((_bucket(context)[:, None], np.where(bits < 0, -1, bits * GRID // FINE)), axis=1)
-    found, place, counts = np.unique(cells, axis=0, return_inverse=True, return_counts=True)
-    sums = np.zeros((len(found), 2), np.int64)
-    np.add.at(sums, place.reshape(-1), np.maximum(bits, 0))
-    return pa.Table.from_arrays([*(pa.array(found[:, k].astype(np.int64)) for k in range(3)), pa.array(counts.astype(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], [c.split()[0] for c in _CELLS.split(", ")])
+    bits2, bits1 = _bits(p2), _bits(p1)
+    # one number per cell: the bucket and both grid places, from 0 for a share of 0
+    cells = (_bucket(context) * PLACES + np.where(bits2 < 0, 0, bits2 * GRID // FINE + 1)) * PLACES + np.where(bits1 < 0, 0, bits1 * GRID // FINE + 1)
+    counts = np.bincount(cells, minlength=1)
+    found = np.flatnonzero(counts)
+    # sums of whole numbers far below 2 ** 53 are exact
+    sums = [np.bincount(cells, weights=np.maximum(x, 0))[found].astype(np.int64) for x in (bits2, bits1)]
+    columns = [found // PLACES**2, found // PLACES % PLACES - 1, found % PLACES - 1, counts[found], *sums]
+    return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [c.split()[0] for c in _CELLS.split(", ")])
 
 
 def learn_weights(cells: np.ndarray, floor: float) -> np.ndarray:
