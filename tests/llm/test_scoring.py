@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from math import exp, log, log10, sqrt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -355,6 +356,30 @@ def test_classify(spark):
     assert quality.classify(df.filter("false"), labels).count() == 0
 
 
+def test_quality_of_repeated_ids_is_repeatable(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(40)), "en") for i in range(200)]
+    rows += [(i, f"another text of {i}", "en") for i in range(0, 200, 3)] + [(4, None, "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    runs = []
+    for k in (1, 6):
+        got = quality.classify(frame(spark, rows).repartition(k), labels, trusted=50).collect()
+        runs.append(sorted((r.doc_id, r.n_tokens, round(r.perplexity, 6), r.keep) for r in got))
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    few = quality.classify(frame(spark, rows), labels, trusted=50, chars=500).collect()  # a bound on characters trains on less
+    assert len(few) == len(rows) and {round(r.perplexity, 6) for r in few} != {x[2] for x in runs[0]}
+
+
+def test_quality_keeps_good_and_rejects_bad_documents(spark):
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("needs the standard tables")
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id: r.keep for r in quality.classify(docs.select("doc_id", "lang", "text"), labels.select("doc_id", "quality")).collect()}
+    marks = [(r.doc_id, r.quality) for r in labels.collect() if r.doc_id in kept]
+    good, bad = ([kept[i] for i, q in marks if q == v] for v in (1, 0))
+    assert sum(good) >= 0.95 * len(good) and (not bad or sum(bad) <= 0.4 * len(bad))
+
+
 # languages
 
 
