@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import rows_of, stash, stash_texts, words_of
 
-#: Tokens after which a block ends; entries that a shard is meant to hold.
-BLOCK_TOKENS, SHARD_ENTRIES = 1_000_000, 1_000_000
+#: Tokens after which a block ends, about 250 bytes of arrays each in the task that counts or scores it; entries that a shard is meant to hold.
+BLOCK_TOKENS, SHARD_ENTRIES = 500_000, 1_000_000
 END = b"\n"  # the end of a text: no word can hold a line feed
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
