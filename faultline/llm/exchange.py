@@ -187,16 +187,36 @@ def totals(answered: DataFrame) -> tuple[int, int]:
     return tuple(x or 0 for x in answered.agg(F.sum("distinct"), F.sum("tokens")).first())
 
 
-def joined(stored: DataFrame, answered: DataFrame, use: Callable[[Block, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """``use(block, word counts, pair counts)`` for every block with its answers put together."""
+_WHOLE_DDL = f"{_BLOCK_DDL}, counts binary, n long"
+
+
+def merged(stored: DataFrame, answered: DataFrame) -> DataFrame:
+    """Blocks with their answers put together, stored, so that several passes shuffle them once."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left.to_pylist()[0])
         parts = sorted(zip(*(right.column(c).to_pylist() for c in ("shard", "n", "counts")), strict=True))
-        counts = [unpack(x, np.int64 if len(x) == 8 * n else np.int32) for _, n, x in parts]
-        return use(block, *block.counts(np.concatenate(counts)))
+        counts = np.concatenate([unpack(x, np.int64 if len(x) == 8 * n else np.int32) for _, n, x in parts])
+        return left.append_column("counts", pa.array([pack(counts)], pa.binary())).append_column("n", pa.array([len(counts)], pa.int64()))
 
     # as many tasks as blocks: what a task reads stays the same at any size
     tasks = max(1, stored.count())
     left, right = stored.repartition(tasks, "block"), answered.repartition(tasks, "block")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
+    return stash(left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, _WHOLE_DDL), "lm-merged")
+
+
+def mapped(whole: DataFrame, use: Callable[[Block, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``use(block, word counts, pair counts)`` for every merged block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                block, data = Block(row), row["counts"]
+                yield from use(block, *block.counts(unpack(data, np.int64 if len(data) == 8 * row["n"] else np.int32))).to_batches()
+
+    return whole.mapInArrow(run, schema)
+
+
+def joined(stored: DataFrame, answered: DataFrame, use: Callable[[Block, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """:func:`mapped` over blocks and their answers."""
+    return mapped(merged(stored, answered), use, schema)

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_TOKENS, Block, answers, blocks, joined, totals
+from .common import unstash
+from .exchange import BLOCK_TOKENS, Block, answers, blocks, mapped, merged, totals
 
 FOLDS, HELD = 7, 2
 #: Buckets of the context frequency (powers of two); EM steps; steps per power of two by which events are gathered in cells
@@ -120,7 +121,10 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held: int = HELD, block_token
     stored = blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold != held).alias("learned"), "text"), block_tokens)
     answered = answers(stored)
     distinct, total = totals(answered)
-    cells = joined(stored, answered, lambda b, w, p: events(b, w, p, total), _CELLS)
+    whole = merged(stored, answered)
+    unstash(stored)
+    unstash(answered)
+    cells = mapped(whole, lambda b, w, p: events(b, w, p, total), _CELLS)
     cells = cells.groupBy("bucket", "p2", "p1").agg(*(F.sum(c).alias(c) for c in ("n", "bits2", "bits1"))).collect()
     weights = learn_weights(np.array(sorted(map(tuple, cells)), np.int64).reshape(-1, 6), 1 / (distinct + 1))
-    return joined(stored, answered, lambda b, w, p: scores(b, w, p, total, distinct, weights), _SCORES)
+    return mapped(whole, lambda b, w, p: scores(b, w, p, total, distinct, weights), _SCORES)
