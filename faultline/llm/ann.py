@@ -1,13 +1,15 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of their id, so copies of one vector spread evenly;
-within a shard equal vectors are one node with a list of ids.  A shard's graph is stored as flat arrays (one
+Vectors are dealt to shards of equal size by a hash of their id, so copies of one vector spread evenly; shards grow
+with the square root of the table, as every query meets every shard (see :func:`shard_size`).  Within a shard equal
+vectors are one node with a list of ids.  A shard's graph is stored as flat arrays (one
 neighbour array for all levels) in one row of a table in the shared folder.  Query blocks meet every shard in an
 equi-join, and the shards' results are merged by exact distance.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -18,10 +20,23 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-SHARD_ROWS, QUERY_ROWS = 4096, 1024
+QUERY_ROWS = 1024
+#: Rows of a shard in tables of up to ``ONE_SIZE`` rows, and most rows and bytes of vectors of a shard in larger ones.
+SHARD_ROWS, ONE_SIZE, MOST_ROWS, MOST_BYTES = 4096, 1 << 16, 1 << 16, 1 << 27
 M, EF_BUILD, EF_SEARCH, SEED = 16, 80, 96, 42
 
 
+def shard_size(rows: int, dim: int) -> int:
+    """Rows of a shard: ``SHARD_ROWS``, growing with the square root of the rows over ``ONE_SIZE``, bounded for one task's sake."""
+    grown = math.isqrt(max(rows, ONE_SIZE) * SHARD_ROWS**2 // ONE_SIZE)
+    return max(1, min(grown, MOST_ROWS, MOST_BYTES // (8 * max(1, dim))))
+
+
+def width(base: int, nodes: int) -> int:
+    """Candidates kept while walking a graph: ``base``, growing with the square root of the nodes, which keeps the recall of large shards."""
+    return math.ceil(base * math.sqrt(max(1.0, nodes / SHARD_ROWS)))
+
+
 class Graph:
     """Flat small-world graph over the rows of ``points``.
 
@@ -110,7 +125,8 @@ class Graph:
         row[: len(kept)] = kept
 
     @classmethod
-    def build(cls, points: np.ndarray, ef: int = EF_BUILD, seed: int = SEED) -> Graph:
+    def build(cls, points: np.ndarray, ef: int | None = None, seed: int = SEED) -> Graph:
+        ef = ef or width(EF_BUILD, len(points))
         random = np.random.default_rng(seed)
         levels = np.minimum(12, (-np.log(1 - random.random(len(points))) / np.log(M)).astype(np.int64)).astype(np.int8)
         graph = cls(points, levels, np.zeros(0, np.int32), 0)
@@ -131,8 +147,9 @@ class Graph:
                 graph.entry = node
         return graph
 
-    def search(self, query: np.ndarray, k: int, ef: int = EF_SEARCH) -> list[int]:
+    def search(self, query: np.ndarray, k: int, ef: int | None = None) -> list[int]:
         """About the ``k`` nearest nodes; exact where the shard has ``ef`` nodes or fewer."""
+        ef = ef or width(EF_SEARCH, len(self.points))
         if len(self.points) <= max(k, ef):
             return np.argsort(self.distances(query, np.arange(len(self.points))), kind="stable")[:k].tolist()
         at = [(float(self.distances(query, np.array([self.entry]))[0]), self.entry)]
@@ -151,15 +168,16 @@ def usable(vectors: DataFrame) -> DataFrame:
 _INDEX = "shard long, dim int, points binary, levels binary, slots binary, entry int, first binary, ids binary"
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(vectors: DataFrame, shard_rows: int | None = None) -> DataFrame:
     """Index every usable row: one row per shard and dimension, as flat little-endian arrays.
 
     ``points`` float64, ``levels`` int8, ``slots`` int32, ``ids`` int64 with ``first[i]..first[i + 1]`` the ids of
-    node ``i``.  A shard's size is bounded by ``shard_rows``, whatever the table's size.
+    node ``i``.  Shards have about ``shard_rows`` rows, or :func:`shard_size` of the table's rows and longest vector.
     """
     rows = usable(vectors)
-    shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    count, dim = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
+    shards = max(1, -(-count // (shard_rows or shard_size(count, dim))))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
@@ -178,7 +196,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["shard", "dim", "points", "levels", "slots", "entry", "first", "ids"])
 
-    parts = dealt.repartition(shards, "shard", "dim") if shards > 1 else dealt
+    parts = dealt.repartitionById(shards, "shard")  # a shard is a task of its own
     return stash(parts.groupBy("shard", "dim").applyInArrow(build, _INDEX), "ann-index")
 
 
@@ -222,7 +240,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int | None = None) -> DataFrame:
     """The rows whose ``vec_id`` is divisible by ``every`` searched among all rows: see :func:`search`.
 
     Every usable row is indexed.  Rows with a null id, and vectors that are null, empty, zero or hold a null or

@@ -151,6 +151,22 @@ def test_recall_against_brute_force(spark):
         assert r.score == pytest.approx(float(np.sqrt(((points[r.query_id] - points[r.vec_id]) ** 2).sum())), abs=1e-12)
 
 
+def test_shards_grow_with_the_table():
+    assert [ann.shard_size(n, 64) for n in (0, 10, 1 << 16, 1 << 18, 1 << 20, 10**12)] == [4096, 4096, 4096, 8192, 16384, ann.MOST_ROWS]
+    assert ann.shard_size(10**12, 10**6) * 8 * 10**6 <= ann.MOST_BYTES and ann.shard_size(10, 10**9) == 1
+
+
+def test_large_shards_keep_their_recall(monkeypatch):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([c + rng.normal(size=(400, 32)) for c in rng.normal(size=(10, 32))])
+    monkeypatch.setattr(ann, "SHARD_ROWS", 500)
+    graph = ann.Graph.build(points)
+    hit = 0
+    for q in range(0, 4000, 40):
+        hit += len({*graph.search(points[q], 10)} & {*np.argsort(((points - points[q]) ** 2).sum(axis=1))[:10].tolist()})
+    assert ann.width(96, 4000) == 272 and hit >= 0.95 * 10 * 100
+
+
 def test_copies_of_a_vector_come_in_order_of_id(spark):
     rng = np.random.default_rng(3)
     points = np.concatenate([np.tile([1.0, 2.0, 3.0], (400, 1)), rng.normal(size=(300, 3))])
