@@ -91,8 +91,11 @@ def components(spark, nodes: DataFrame, edges: DataFrame, max_rounds: int = 40)
         lower = labels.join(near, labels["node_id"] == near["dst"], "left").select("node_id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = lower.select(F.col("node_id").alias("__n"), F.col("low").alias("__low"))
         fresh = lower.join(jump, lower["low"] == jump["__n"], "left").select("node_id", "component", F.least("low", F.coalesce("__low", "low")).alias("fresh"))
-        fresh = fresh.checkpoint() if reliable else fresh.cache()
+        held = fresh.persist()  # else the checkpoint would compute the round a second time
+        fresh = held.checkpoint() if reliable else held
         moved = fresh.filter("fresh <> component").limit(1).count()
+        if reliable:
+            held.unpersist()
         labels = fresh.select("node_id", F.col("fresh").alias("component"))
         if not moved:
             return labels

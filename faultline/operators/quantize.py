@@ -12,8 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small_side
+from .segments import BUCKET, PLACE, numbered
 
-def _bucket(value: Column) -> Column:
+
+def value_bucket(value: Column) -> Column:
     """Order-preserving buckets: each spans about 1.6 % of a value's size, so it has few distinct FLOATs."""
     return F.floor(F.asinh(value.cast("double") * 1e6) * 64)
 
@@ -34,7 +37,7 @@ def _coded(df: DataFrame, keys: Sequence[str], value: str, nbits: int) -> DataFr
     """:func:`dictionary`, with the rows ``n`` of each value."""
     # a struct of the keys: equal where the keys are, null ones included
     values = df.select(F.struct(F.lit(0).alias("_"), *keys).alias("__k"), F.col(value).cast("float").alias("value")).filter("value is not null")
-    distinct = values.groupBy("__k", "value").agg(F.count("*").alias("n")).withColumn("__b", _bucket(F.col("value")))
+    distinct = values.groupBy("__k", "value").agg(F.count("*").alias("n")).withColumn("__b", value_bucket(F.col("value")))
     inside, along = Window.partitionBy("__k", "__b").orderBy("value"), Window.partitionBy("__k").orderBy("__b")
     ends = distinct.groupBy("__k", "__b").agg(F.max("value").alias("__top")).withColumn("__below", F.lag("__top").over(along)).drop("__top")
     near = distinct.join(ends, ["__k", "__b"]).withColumn("gap", F.col("value") - F.coalesce(F.lag("value").over(inside), F.col("__below")))
@@ -72,15 +75,33 @@ def stored_bytes(n: Column, clusters: Column, nbits: int) -> Column:
     return (F.ceil(n * nbits / 8) + clusters * 4 + clusters * 4).cast("long")
 
 
-def equal_frequency(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
-    """CMP-04: equal-frequency bins by rank; adds ``bin``."""
-    return df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*keys).orderBy(value)) - 1)
-
+def equal_frequency(df: DataFrame, keys: Sequence[str], value: str, bins: int, bucket: Column | None = None) -> DataFrame:
+    """CMP-04: equal-frequency bins by rank; adds ``bin``.
 
-def blocks(df: DataFrame, key: str, order: Sequence[str], value: str, size: int = 1024, nbits: int = 8) -> DataFrame:
-    """CMP-06, WIN-08: every run of ``size`` values of a key quantised on its own; adds ``block, code, centre``."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return encode(df.withColumn("block", F.floor(place / size)), [key, "block"], value, nbits)
+    With ``bucket``, which must not decrease with ``value``, ranks are counted bucket by bucket, so no key is sorted in one task.
+    """
+    if bucket is None:
+        return df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*keys).orderBy(value)) - 1)
+    rows = df.withColumn("__keys", F.struct(*keys))
+    totals = small_side(rows.groupBy("__keys").agg(F.count("*").alias("__total")))
+    ranked = numbered(rows, "__keys", [value], bucket).join(totals, "__keys")
+    # the first ``extra`` bins hold one row more than the others
+    place, least, extra = F.col(PLACE) - 1, F.floor(F.col("__total") / bins), F.col("__total") % bins
+    late = F.floor((place - extra * (least + 1)) / F.greatest(least, F.lit(1)))
+    spot = F.when(place < extra * (least + 1), F.floor(place / (least + 1))).otherwise(extra + late)
+    return ranked.withColumn("bin", spot.cast("int")).drop("__keys", "__total", BUCKET, PLACE)
+
+
+def blocks(df: DataFrame, key: str, order: Sequence[str], value: str, size: int = 1024, nbits: int = 8, bucket: Column | None = None) -> DataFrame:
+    """CMP-06, WIN-08: every run of ``size`` values of a key quantised on its own; adds ``block, code, centre``.
+
+    With ``bucket``, which must not decrease along ``order``, rows are counted bucket by bucket, so no key is sorted in one task.
+    """
+    if bucket is None:
+        rows = df.withColumn(PLACE, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    else:
+        rows = numbered(df, key, order, bucket).drop(BUCKET)
+    return encode(rows.withColumn("block", F.floor((F.col(PLACE) - 1) / size)).drop(PLACE), [key, "block"], value, nbits)
 
 
 def lower_triangle(matrix: Column) -> Column:

@@ -21,14 +21,14 @@ def numbered(df: DataFrame, key: str, order: Sequence[str], bucket: Column) -> D
     """Adds the bucket and each row's position (from 1) in its key, without gathering a key.
 
     ``bucket`` must not decrease along ``order``.  Positions are counts of the buckets before plus the place in
-    the bucket.
+    the bucket.  Null keys are one key and null buckets its first one: they meet as structs, which are never null.
     """
-    rows = df.withColumn(BUCKET, bucket)
-    sizes = rows.groupBy(key, BUCKET).agg(F.count("*").alias("__size"))
-    ahead = Window.partitionBy(key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(key, BUCKET, F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(key, BUCKET).orderBy(*order))
-    return rows.withColumn(PLACE, within).join(sizes, [key, BUCKET]).withColumn(PLACE, F.col(PLACE) + F.col("__before")).drop("__before")
+    rows = df.withColumn(BUCKET, bucket).withColumn("__group", F.struct(F.col(key).alias("key"), F.col(BUCKET).alias("bucket")))
+    sizes = rows.groupBy("__group").agg(F.count("*").alias("__size"))
+    ahead = Window.partitionBy("__group.key").orderBy("__group.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__group", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__group").orderBy(*order))
+    return rows.withColumn(PLACE, within).join(sizes, "__group").withColumn(PLACE, F.col(PLACE) + F.col("__before")).drop("__before", "__group")
 
 
 def affine_scan(rows: DataFrame, key: str, order: Sequence[str], a: Column, b: Column, start: float, name: str) -> DataFrame:

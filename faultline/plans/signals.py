@@ -397,7 +397,7 @@ def quantize_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, (ntile(8) OVER (PARTITION BY event_type ORDER BY value, event_id) - 1)::INT AS bin FROM events")
 def quantize_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-04."""
-    return quantize.equal_frequency(events(spark, sf_dir).withColumn("by", F.struct("value", "event_id")), ["event_type"], "by", 8).select("event_id", "bin")
+    return quantize.equal_frequency(events(spark, sf_dir).withColumn("by", F.struct("value", "event_id")), ["event_type"], "by", 8, quantize.value_bucket(F.col("value"))).select("event_id", "bin")
 
 
 @query(
@@ -410,7 +410,7 @@ SELECT b.event_id, b.block, c.code FROM b JOIN c USING (event_type, block, v)"""
 )
 def block_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-06, WIN-08."""
-    return quantize.blocks(events(spark, sf_dir), "event_type", ORDER, "value").select("event_id", "block", "code")
+    return quantize.blocks(events(spark, sf_dir), "event_type", ORDER, "value", bucket=week()).select("event_id", "block", "code")
 
 
 @query(
@@ -517,9 +517,9 @@ def series(spark: SparkSession, sf_dir: str, n: int = 256) -> DataFrame:
 
 
 def blocks(readings: DataFrame, n: int) -> DataFrame:
-    place = F.row_number().over(filters.Window.partitionBy("event_type").orderBy(*ORDER)) - 1
     counts = readings.groupBy("event_type").agg(F.greatest(F.floor(F.count("*") / n) - 1, F.lit(0)).alias("last")).withColumnRenamed("event_type", "__type")
-    rows = readings.withColumn("place", place).join(counts, F.col("event_type").eqNullSafe(F.col("__type")))
+    placed = segments.numbered(readings, "event_type", ORDER, week()).withColumn("place", F.col(segments.PLACE) - 1)
+    rows = placed.join(counts, F.col("event_type").eqNullSafe(F.col("__type")))
     rows = rows.withColumn("block", F.least(F.floor(F.col("place") / n), F.col("last")))
     held = rows.groupBy("event_type", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda e: e["value"]).alias("signal"))
     return held.withColumn("name", F.concat_ws("/", "event_type", "block"))

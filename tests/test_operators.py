@@ -455,6 +455,22 @@ def test_align_stream(spark, tmp_path):
     assert sorted(rows(got, "at", "n_events")) == [(1_000_000_005, 2), (1_000_000_009, 3), (1_000_000_031, 2)]
 
 
+def test_ranks_by_bucket_equal_ranks_of_whole_keys(spark):
+    data = [("a" if k % 3 else None, float((k * 37) % 50) if k % 11 else None, k) for k in range(200)] + [("few", 1.0, 900), ("few", 2.0, 901)]
+    df = spark.createDataFrame(data, "tag string, value double, seq int").withColumn("by", F.struct("value", "seq"))
+    for bins in (1, 7, 8):
+        whole, cut = (quantize.equal_frequency(df, ["tag"], "by", bins, b) for b in (None, quantize.value_bucket(F.col("value"))))
+        assert sorted(rows(cut, "seq", "bin")) == sorted(rows(whole, "seq", "bin")) and cut.columns == whole.columns
+    placed = segments.numbered(df, "tag", ["value", "seq"], F.floor("value"))
+    plain = {tag: sorted(((v is not None, v or 0.0, k) for t, v, k in data if t == tag)) for tag in ("a", None, "few")}
+    want = sorted((k, n + 1) for each in plain.values() for n, (_, _, k) in enumerate(each))
+    assert sorted(rows(placed, "seq", segments.PLACE)) == want
+    known = df.filter("tag is not null and value is not null")
+    whole, cut = (quantize.blocks(known, "tag", ["seq"], "value", 16, 3, b) for b in (None, F.floor(F.col("seq") / 20)))
+    assert sorted(rows(cut, "seq", "block", "code")) == sorted(rows(whole, "seq", "block", "code"))
+    assert quantize.equal_frequency(df.filter("false"), ["tag"], "by", 3, F.floor("value")).count() == 0
+
+
 def test_quantize_stream(spark, tmp_path):
     df = readings(spark, 50, 1)
     df.coalesce(1).write.parquet(str(tmp_path / "q"))
