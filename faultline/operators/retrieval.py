@@ -15,24 +15,36 @@ from .text import tokens
 K1, B, TOP, RRF_K = 1.5, 0.75, 50, 60
 #: Queries of a block that an exact vector search sends to its tasks at once, which bounds what it broadcasts.
 QUERY_BLOCK = 10_000
+#: Spaces of all kinds, which keyword search cuts from both ends of a text.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def _trimmed(text: str) -> Column:
+    return F.btrim(F.col(text), F.lit(SPACES))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """RET-01, TXT-09: ``key, term, tf, dl``: term counts and the length of each document."""
+    """RET-01, TXT-09: ``key, term, tf, dl``: term counts and the length of each document; an id's texts of unlike lengths stay apart."""
     return _listed(docs, key, text, None)
 
 
 def _listed(docs: DataFrame, key: str, text: str, words: DataFrame | None) -> DataFrame:
     """:func:`postings`, of some words only: the others go before they are counted."""
-    split = docs.select(key, tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
+    split = docs.select(key, tokens(_trimmed(text)).alias("terms")).withColumn("dl", F.size("terms"))
     each = split.select(key, "dl", F.explode("terms").alias("term"))
     each = each.join(small_side(words), "term", "left_semi") if words is not None else each
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf")).select(key, "term", "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
-    """AGG-12: one row ``n_docs, avgdl``."""
-    return docs.select(F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    """AGG-12: one row ``n_docs, avgdl``; a null text is a document, but has no length."""
+    return docs.select(F.regexp_count(_trimmed(text), F.lit(r"[^\t\n\f\r ]+")).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def _exact_sum(part: Column) -> Column:
+    """The sum of values from 0 to 2^30, in integer steps of 2^-64, so that it does not depend on the order of rows."""
+    high = F.floor(part * 2.0**32)
+    return F.sum(high) * 2.0**-32 + F.sum(F.floor((part * 2.0**32 - high) * 2.0**32)) * 2.0**-64
 
 
 def _top(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -45,16 +57,17 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = TOP,
     """RET-02, AGG-04: Okapi BM25: ``query_id, key, score, rank0``, scores over the best of their query.
 
     ``queries(query_id, query)``; a word asked twice counts twice.  Only postings of words that are asked for
-    are scored; negative weights of very common words are cut at 0; results with score 0 go.
+    are scored; negative weights of very common words are cut at 0; results with score 0 go.  Scores are exact sums, so
+    that copies tie on every layout.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select("query_id", F.explode(tokens(_trimmed("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = asked.select("term").distinct()
     listed = _listed(docs, key, text, words)
     total, mean = corpus_stats(docs, text).first()
     df = listed.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.0), F.log((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-    scored = listed.join(df, "term").join(asked, "term").groupBy("query_id", key).agg(F.sum(part).alias("score")).filter("score > 0")
+    scored = listed.join(df, "term").join(asked, "term").groupBy("query_id", key).agg(_exact_sum(part).alias("score")).filter("score > 0")
     best = F.max("score").over(Window.partitionBy("query_id"))
     return _top(scored, key, k).withColumn("score", F.col("score") / best).select("query_id", key, "score", "rank0")
 
