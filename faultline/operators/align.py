@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sizes import small_side
 
+#: Spreads in a stretch of time that one task aligns; the events of one spread before it are aligned twice.
+STRETCH = 8
+
 
 def keyed(events: DataFrame, sources: DataFrame) -> DataFrame:
     """SRC-04, SRC-05: events with ``aligned_ns = ntp_ns + delay_ns`` of their source; an unknown source fails."""
@@ -25,13 +28,33 @@ def bundles(events: DataFrame, keys: list[str], at: str, source: str, n_sources:
 
     ``keys, at, n_events`` and, if ``carry`` is given, ``events``: the carried values in order.  With
     ``non_overlapping``, a bundle starts only where the window of the one kept before has passed.
+
+    A key's time is cut into stretches, each a task's own with the events that still count in it.  Sources and events are
+    running sums of what comes and goes, so the work does not grow with the number of events in a window; only ``carry`` gathers them.
     """
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-spread, 0)
-    seen = events.withColumn("__sources", F.size(F.collect_set(source).over(w))).withColumn("n_events", F.count("*").over(w))
+    stretch = lambda t: F.floor(t / F.lit(max(1, STRETCH * spread)))
+    on = [*keys, "__stretch"]
+    reach = F.explode_outer(F.sequence(stretch(F.col(at)), stretch(F.col(at) + spread)))
+    held = events.select(*keys, at, F.col(source).alias("__source"), *([carry.alias("__carried")] if carry is not None else []), reach.alias("__stretch")).repartition(*on)
+    each = held.groupBy(*on, at, "__source").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*on, "__source").orderBy(at)
+    fresh = (F.row_number().over(w) == 1) | F.coalesce(F.col(at) - F.lag(at).over(w) > spread, F.lit(False))
+    left = F.lead("__n").over(w).isNull() | F.coalesce(F.lead(at).over(w) - F.col(at) > spread, F.lit(False))
+    known = F.col("__source").isNotNull()
+    marked = each.withColumn("__comes", (fresh & known).cast("long")).withColumn("__goes", (left & known).cast("long"))
+    # at a time, what comes stands before what goes
+    comes = F.struct(F.col(at).alias("__t"), F.lit(0).alias("__side"), F.col("__comes").alias("__ds"), F.col("__n").alias("__dn"))
+    goes = F.struct((F.col(at) + spread).alias("__t"), F.lit(1).alias("__side"), (-F.col("__goes")).alias("__ds"), (-F.col("__n")).alias("__dn"))
+    until = Window.partitionBy(*on).orderBy("__t", "__side").rangeBetween(Window.unboundedPreceding, 0)
+    moves = marked.select(*on, F.inline(F.array(comes, goes)))
+    counted = moves.withColumn("__sources", F.sum("__ds").over(until)).withColumn("n_events", F.sum("__dn").over(until))
+    own = (F.col("__side") == 0) & F.col("__stretch").eqNullSafe(stretch(F.col("__t")))
+    kept = counted.filter(own & (F.col("__sources") == n_sources)).dropDuplicates([*on, "__t"]).withColumnRenamed("__t", at)
     if carry is not None:
-        seen = seen.withColumn("events", F.collect_list(carry).over(w))
-    full = seen.filter(F.col("__sources") == n_sources).dropDuplicates([*keys, at])
-    kept = full.select(*keys, at, "n_events", *(["events"] if carry is not None else []))
+        listed = held.withColumn("events", F.collect_list("__carried").over(Window.partitionBy(*on).orderBy(at).rangeBetween(-spread, 0))).dropDuplicates([*on, at])
+        same = [F.col(f"k.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*on, at)]
+        kept = kept.alias("k").join(listed.alias("l"), same).select(*(f"k.{c}" for c in (*keys, at, "n_events")), "l.events")
+    kept = kept.select(*keys, at, "n_events", *(["events"] if carry is not None else []))
     if not non_overlapping:
         return kept
     schema = kept.schema
