@@ -1,8 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts, continuation counts, context totals and discounts are DataFrame aggregates, joined by hashed n-grams over
-shards.  The trusted sample is bounded, and so is the model; each task holds it as sorted arrays and scores whole
-documents without moving them.  A document is kept if its perplexity is within its language's quantile, which is
+Counts, continuation counts, context totals and discounts are DataFrame aggregates of all texts to learn from, joined by hashed
+n-grams over shards.  Blocks of documents send each distinct n-gram once, sorted and packed, to key-range shards of the model,
+which answer in the same order, so no task holds the model.  A model of few texts (:func:`train`) fits in a task and scores
+documents where they lie (:func:`perplexities`).  A document is kept if its perplexity is within its language's quantile, which is
 taken over trusted documents that the model was not trained on.
 """
 
@@ -10,19 +11,20 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, small_side, stash, stash_texts, words_of
-from .exchange import END, pair_keys, word_key
+from .common import rows_of, small_side, stash, stash_texts, unstash, words_of
+from .exchange import BLOCK_TOKENS, END, SHARD_ENTRIES, pack, pack_sorted, pair_keys, unpack, unpack_sorted, word_key
 
-#: Trusted documents trained on (of half of them, smallest hash of the id first), and characters of their texts: the documented
-#: bounds of the fit, so of the model that is sent to the tasks.
-TRUSTED, TRUSTED_CHARS = 2000, 1 << 24
+#: Ids up to which the trusted documents are broadcast to find their texts.
+MANY_IDS = 500_000
 #: Share of trusted documents of a language within its threshold; fewer than LEAST take the threshold of all languages.
 QUANTILE, LEAST, SMALL_ROWS = 0.99, 20, 10_000
 #: Words that a task remembers before it starts anew.
@@ -135,20 +137,32 @@ class Model:
         return p
 
 
-def train(texts: DataFrame) -> Model:
-    """A model of a bounded set of trusted texts; an empty set gives a uniform model of one unknown word."""
+def levels(texts: DataFrame) -> tuple[dict[str, DataFrame], float] | None:
+    """Probabilities ``p`` of n-grams (``p1, p2, p3``) and back-off weights ``g`` over 0 of contexts (``g2, g3``), and an unknown word's
+    log10 probability; None without texts."""
     three = stash(_trigrams(texts), "quality-trigrams")
     two = stash(three.groupBy("b", "c").agg(F.count("*").alias("n")), "quality-bigrams")
     one = stash(two.groupBy("c").agg(F.count("*").alias("n")), "quality-words")
     vocabulary = one.count()
     if not vocabulary:
-        empty = np.zeros(0, np.uint64)
-        return Model(Table(empty, np.zeros((0, 2))), Table(empty, np.zeros((0, 2))), Table(empty, np.zeros((0, 1))), 0.0)
+        return None
     p1, _ = _level(one, [], None, [], vocabulary)
     p1 = stash(p1.select("c", "p", "g"), "quality-p1")
     p2, about2 = _level(two, ["b"], p1, ["c"], vocabulary)
     p2 = stash(p2.select("b", "c", "p"), "quality-p2")
     p3, about3 = _level(three, ["a", "b"], p2, ["b", "c"], vocabulary)
+    floor = float(np.log10(max(p1.first()["g"], 1e-9) / (vocabulary + 1)))
+    weights = {"g2": about2.filter("g > 0").select("b", "g"), "g3": about3.filter("g > 0").select("a", "b", "g")}
+    return {"p1": p1.select("c", "p"), "p2": p2, "p3": p3.select("a", "b", "c", "p"), **weights}, floor
+
+
+def train(texts: DataFrame) -> Model:
+    """A model, in memory, of a bounded set of trusted texts; an empty set gives a uniform model of one unknown word."""
+    made = levels(texts)
+    if made is None:
+        empty = np.zeros(0, np.uint64)
+        return Model(Table(empty, np.zeros((0, 2))), Table(empty, np.zeros((0, 2))), Table(empty, np.zeros((0, 1))), 0.0)
+    frames, floor = made
 
     def arrays(df: DataFrame, value: str) -> tuple[list[np.ndarray], np.ndarray]:
         """Columns of a bounded table, batch by batch."""
@@ -164,12 +178,11 @@ def train(texts: DataFrame) -> Model:
         out[np.searchsorted(every, contexts), 1] = weights
         return Table(every, out)
 
-    (c,), v1 = arrays(p1.select("c", "p"), "p")
-    (b2, c2), v2 = arrays(p2, "p")
-    (a3, b3, c3), v3 = arrays(p3.select("a", "b", "c", "p"), "p")
-    (b,), g2 = arrays(about2.filter("g > 0").select("b", "g"), "g")
-    (a, ab), g3 = arrays(about3.filter("g > 0").select("a", "b", "g"), "g")
-    floor = float(np.log10(max(p1.first()["g"], 1e-9) / (vocabulary + 1)))
+    (c,), v1 = arrays(frames["p1"], "p")
+    (b2, c2), v2 = arrays(frames["p2"], "p")
+    (a3, b3, c3), v3 = arrays(frames["p3"], "p")
+    (b,), g2 = arrays(frames["g2"], "g")
+    (a, ab), g3 = arrays(frames["g3"], "g")
     triples = Table(pair_keys(pair_keys(a3, b3), c3), v3[:, None])
     return Model(beside(c, v1, b, g2, floor), beside(pair_keys(b2, c2), v2, pair_keys(a, ab), g3, np.nan), triples, floor)
 
@@ -206,25 +219,172 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     return stash_texts(docs.select(*kept, "text").mapInArrow(run, f"{fields}, n_tokens long, log10_ppl double"), "quality-scores")
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantile: float = QUANTILE, chars: int = TRUSTED_CHARS) -> DataFrame:
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.binary())])
+_BLOCK_DDL = "block long, doc_ids array<bigint>, langs array<string>, lengths array<bigint>, tokens binary, words binary"
+
+
+def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
+    """``docs(doc_id, lang, text)`` -> stored blocks of token numbers (int32 planes) into ``words`` (keys); texts are padded by two starts and one end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        ids, langs, lengths, parts, held = [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys = np.fromiter(map(word_key, number), np.uint64, len(number))
+            row = {"block": task << 32 | count, "doc_ids": ids, "langs": langs, "lengths": lengths, "tokens": pack(np.concatenate(parts)), "words": keys.tobytes()}
+            return pa.RecordBatch.from_pylist([row], _BLOCK)
+
+        for doc, lang, text in rows_of(batches, "doc_id", "lang", "text"):
+            words = [START, START, *words_of(text), END]
+            parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            ids.append(doc)
+            langs.append(lang)
+            lengths.append(len(words))
+            held += len(words)
+            if held >= block_tokens:
+                yield flush()
+                number.clear()
+                ids, langs, lengths, parts, held, count = [], [], [], [], 0, count + 1
+        if ids:
+            yield flush()
+
+    return stash_texts(docs.select("doc_id", "lang", "text").mapInArrow(run, _BLOCK_DDL), "quality-blocks")
+
+
+def _places(row: dict) -> tuple[np.ndarray, ...]:
+    """Of a block: its distinct n-gram keys in order; places in them of each word, pair and triple; where pairs and triples stay within a text."""
+    lengths = np.array(row["lengths"], np.int64)
+    tokens, words = unpack(row["tokens"], np.int32), np.frombuffer(row["words"], np.uint64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    known = words[tokens]
+    pair = pair_keys(known[:-1], known[1:])
+    two, three = doc[:-1] == doc[1:], doc[:-2] == doc[2:]
+    triple = pair_keys(pair[:-1], known[2:])
+    pair, triple = pair[two], triple[three]
+    keys = np.unique(np.concatenate((words, pair, triple)))
+    return keys, np.searchsorted(keys, words)[tokens], np.searchsorted(keys, pair), np.searchsorted(keys, triple), two, three
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Key ranges of equal width: key * shards / 2**64, from the upper half of the key."""
+    return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _model_rows(frames: dict[str, DataFrame], shards: int) -> DataFrame:
+    """``shard, key, p, g``: every n-gram's log10 probability, and every context's log10 weight (NaN for the other)."""
+
+    def rows(df: DataFrame, value: str) -> DataFrame:
+        names = [c for c in df.columns if c != value]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [np.asarray(batch.column(c)).view(np.uint64) for c in names]
+                key = reduce(pair_keys, keys)
+                filled, none = batch.column(value), pa.array(np.full(len(key), np.nan, np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(_shard(key, shards)), pa.array(key.view(np.int64)), *((filled, none) if value == "p" else (none, filled))], ["shard", "key", "p", "g"])
+
+        return df.withColumn(value, F.log10(value).cast("float")).mapInArrow(run, "shard long, key long, p float, g float")
+
+    return reduce(DataFrame.unionByName, (rows(df, name[0]) for name, df in frames.items()))
+
+
+_ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("held", pa.binary()), ("p", pa.binary()), ("g", pa.binary())])
+_ANSWER_DDL = "block long, shard long, n long, held binary, p binary, g binary"
+_SCORES = "doc_id long, lang string, n_tokens long, log10_ppl double"
+
+
+def whole_perplexities(docs: DataFrame, texts: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """``doc_id, lang, n_tokens, log10_ppl`` (per token) of ``docs``, by a model of any size of all ``texts``: what
+    :func:`perplexities` gives with :func:`train`, through shards."""
+    made = levels(texts)
+    stored = _blocks(docs, block_tokens)
+    if made is None:
+        ids = stored.select(F.inline(F.arrays_zip("doc_ids", "langs", "lengths")))
+        return ids.select(F.col("doc_ids").alias("doc_id"), F.col("langs").alias("lang"), (F.col("lengths") - 2).alias("n_tokens"), F.lit(0.0).alias("log10_ppl"))
+    frames, floor = made
+    size = stored.select(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    shards = max(1, -(-2 * int(size) // shard_entries))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                keys = _places(row)[0]
+                shard = _shard(keys, shards)
+                starts = np.flatnonzero(np.diff(shard, prepend=-1))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([int(shard[a])]), pa.array([pack_sorted(keys[a:b])], pa.binary())], ["block", "shard", "keys"])
+
+    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+        every, place = np.unique(np.asarray(model.column("key")).view(np.uint64), return_inverse=True)
+        values = np.full((2, len(every)), np.nan, np.float32)
+        for k, name in enumerate(("p", "g")):
+            got = np.asarray(model.column(name))
+            values[k, place[~np.isnan(got)]] = got[~np.isnan(got)]
+        out = []
+        for block, shard, data in zip(*(asked.column(c).to_pylist() for c in ("block", "shard", "keys")), strict=True):
+            keys = unpack_sorted(data)
+            at = np.minimum(np.searchsorted(every, keys), max(0, len(every) - 1))
+            held = every[at] == keys if len(every) else np.zeros(len(keys), bool)
+            p, g = (v[at[held]] for v in values) if len(every) else values
+            out.append((block, shard, len(keys), np.packbits(held).tobytes(), pack(p), pack(g)))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, _ANSWER.types, strict=True)], schema=_ANSWER)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({c.split()[0]: pa.array([], k) for c, k in zip(_SCORES.split(", "), (pa.int64(), pa.string(), pa.int64(), pa.float64()), strict=True)})
+        row = left.to_pylist()[0]
+        keys, word, pair, triple, two, three = _places(row)
+        parts = sorted(zip(*(right.column(c).to_pylist() for c in ("shard", "n", "held", "p", "g")), strict=True))
+        held = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8), count=n).astype(bool) for _, n, h, _, _ in parts])
+        p, g = np.full(len(keys), np.nan), np.zeros(len(keys))
+        p[held] = np.concatenate([unpack(x, np.float32) for *_, x, _ in parts])
+        g[held] = np.nan_to_num(np.concatenate([unpack(x, np.float32) for *_, x in parts]))
+        lengths = np.array(row["lengths"], np.int64)
+        p1 = np.where(np.isnan(p[word]), floor, p[word])
+        p2, g3 = np.zeros(len(two)), np.zeros(len(two))
+        p2[two], g3[two] = p[pair], g[pair]
+        p2 = np.where(np.isnan(p2), p1[1:] + g[word][:-1], p2)
+        p3 = p[triple]
+        p3 = np.where(np.isnan(p3), (p2[1:] + g3[:-1])[three], p3)
+        counts = lengths - 2
+        sums = np.add.reduceat(p3, np.cumsum(counts) - counts)
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_tokens": counts, "log10_ppl": -sums / counts})
+
+    asked = stored.mapInArrow(ask, "block long, shard long, keys binary").repartition(shards, "shard").groupBy("shard")
+    answered = stash(asked.cogroup(_model_rows(frames, shards).repartition(shards, "shard").groupBy("shard")).applyInArrow(answer, _ANSWER_DDL), "quality-answers")
+    tasks = max(1, stored.count())
+    left, right = stored.repartition(tasks, "block"), answered.repartition(tasks, "block")
+    out = stash(left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, _SCORES), "quality-scores")
+    unstash(stored)
+    unstash(answered)
+    return out
+
+
+def classify(docs: DataFrame, labels: DataFrame, trusted: int | None = None, quantile: float = QUANTILE, chars: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, lang, n_tokens, perplexity, threshold, keep``.
 
-    Trusted documents are those labelled ``quality = 1`` and not also 0.  Of one half of them (by the parity of
-    the id's hash), at most ``trusted`` (smallest hash) with at most ``chars`` characters train the model, the smallest text of an id
-    that repeats; all others set the thresholds: per language the ``quantile`` of log perplexity, over all languages where a
+    Trusted documents are those labelled ``quality = 1`` and not also 0.  All of one half of them (by the parity of
+    the id's hash) train the model, the smallest text of an id that repeats; a caller may ask for at most ``trusted`` (smallest hash)
+    with at most ``chars`` characters.  All others set the thresholds: per language the ``quantile`` of log perplexity, over all languages where a
     language (or a null one) has fewer than ``LEAST``.  Whole texts are scored, of any length.  A null or empty text is an end
     token alone.  Without trusted documents there is no threshold and every document is kept.  Repeated rows each
     give a row; ties with the threshold are kept; labels without a document have no effect.
     """
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"))
     marks = stash(marks.filter("low = 1").select("doc_id"), "quality-trusted")
-    half = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
-    sample = half.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded sample
-    texts = stash(texts.withColumn("chars", F.sum(F.length("text")).over(upto)).filter(F.col("chars") <= chars).select("doc_id", "text"), "quality-texts")
-    model, chosen = train(texts.select("text")), texts.select("doc_id")
-    scored = perplexities(docs.select("doc_id", "lang", "text"), model)
+    half = lambda df: df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    sample = half(marks) if trusted is None else half(marks).orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = half(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small_side(sample, MANY_IDS), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    if chars is not None:
+        upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        texts = texts.withColumn("chars", F.sum(F.length("text")).over(upto)).filter(F.col("chars") <= chars)
+    texts = stash(texts.select("doc_id", "text"), "quality-texts")
+    scored, chosen = whole_perplexities(docs, texts), texts.select("doc_id")
     rest = marks.join(chosen, "doc_id", "left_anti")
     fresh = scored.join(rest, "doc_id", "left_semi")
     rank = F.percentile_approx("log10_ppl", F.lit(quantile), F.lit(100_000))

@@ -457,3 +457,25 @@ def test_identify(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902)) and got[904].lang_pred == "fr" and got[903].lang_pred in SAID
     assert {r.lang_pred for r in langid.identify(frame(spark, [(1, "text", None)])).collect()} == {"und"}
     assert langid.identify(frame(spark, docs).filter("false")).count() == 0
+
+
+def test_whole_model_equals_the_model_in_memory(spark):
+    """Shards answer what a task's own copy of the model would; unknown words, empty and null texts included."""
+    texts = spark.createDataFrame([("a b c a b d",), ("a b c",), ("b c e e",), ("",)], "text string")
+    asked = [(1, "en", "a b c a b d"), (2, None, None), (3, "fr", ""), (4, "en", "x a b y c e e"), (None, "en", "b c"), (4, "en", "e " * 50)]
+    docs = spark.createDataFrame(asked, "doc_id long, lang string, text string")
+    want = sorted(((r.doc_id, r.lang, r.n_tokens), r.log10_ppl) for r in quality.perplexities(docs.na.fill({"doc_id": -1, "lang": ""}), quality.train(texts)).collect())
+    for tokens, entries in ((1 << 20, 1 << 20), (4, 8)):
+        got = quality.whole_perplexities(docs, texts, tokens, entries).na.fill({"doc_id": -1, "lang": ""}).collect()
+        got = sorted(((r.doc_id, r.lang, r.n_tokens), r.log10_ppl) for r in got)
+        assert [k for k, _ in got] == [k for k, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-5)
+
+
+def test_quality_trains_on_every_trusted_document(spark):
+    """A word that one trusted text in 5,000 has is known, wherever the text's id falls in the order of hashes."""
+    ids = [i for i, in spark.range(5000).filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, "en", "rare bird sings" if i == ids[-1] else "the common text") for i in range(5000)] + [(9000, "en", "rare bird sings"), (9001, "en", "none such here")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5000)], "doc_id long, quality int")
+    got = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).filter("doc_id >= 9000").collect()}
+    assert got[9000] < 0.9 * got[9001]
