@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ EXAMPLES, EXAMPLE_CHARS = 4000, 1 << 25
 NEIGHBOURS, FOLDS, HELD, REJECT = 15, 3, 1, 0.7
 #: Weight of a word that does not tell classes apart; normal quantile of the bound by which words tell, wide because a great many are tried.
 FLOOR, SURE = 0.1, 2.5
-#: Examples of a block; examples above which the postings of a word that does not tell are read last, if at all.
-BLOCK, COMMON = 64, 128
+#: Examples of a block; share of the examples (and number) above which a word that does not tell is read last, for the examples that it can still raise.
+BLOCK, SHARE, COMMON = 64, 0.25, 128
 #: Votes of the prior beside the neighbours'; one in so many sampled labels calibrates; strength of the curve's pull to the identity.
 SMOOTH, CALIBRATE, PULL = 0.05, 5, 1.0
 _TOKEN = re.compile(r"[^\W_]+")
@@ -105,16 +106,16 @@ class Index:
         self.cuts = np.searchsorted(code[order], np.arange(len(terms) + 1))
         blocks = -(-len(ids) // BLOCK)
         plain = self.weight <= FLOOR * np.log((every + 1) / (np.maximum(n, 1e-9) + 1)) + 1e-12
-        common = np.flatnonzero((np.diff(self.cuts) > COMMON) & plain)
+        common = np.flatnonzero((np.diff(self.cuts) > max(COMMON, SHARE * len(ids))) & plain)
         self.row = np.full(len(terms), -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.peaks = np.zeros((len(common), blocks))
+        # at most a few dozen columns: a text of usual length has few words that a quarter of all texts have
+        self.dense = np.zeros((len(ids), len(common)))
         for k, t in enumerate(common.tolist()):
             part = slice(self.cuts[t], self.cuts[t + 1])
             np.maximum.at(self.peaks[k], self.numbers[part] // BLOCK, self.values[part])
-        # where a common term's postings of each block begin
-        starts = [self.cuts[t] + np.searchsorted(self.numbers[self.cuts[t] : self.cuts[t + 1]], np.arange(blocks + 1) * BLOCK) for t in common.tolist()]
-        self.starts = np.array(starts, np.int64).reshape(len(common), blocks + 1)
+            self.dense[self.numbers[part], k] = self.values[part]
 
     def ready(self) -> Index:
         """Widens the postings' numbers once per worker, as ``np.bincount`` takes them without a copy."""
@@ -124,29 +125,30 @@ class Index:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term codes and unit weights of a whole text."""
         counts = Counter(words(text))
-        known = [(k, n) for k, n in zip(map(self.code.get, counts), counts.values()) if k is not None]
-        if not known:
+        absent = len(self.code)
+        codes = np.fromiter(map(self.code.get, counts, repeat(absent)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))[codes < absent]
+        codes = codes[codes < absent]
+        if not len(codes):
             return np.zeros(0, np.int64), np.zeros(0)
-        codes, n = np.array([k for k, _ in known], np.int64), np.array([n for _, n in known], np.float64)
         x = (1 + np.log(n)) * self.weight[codes]
         norm = float(np.sqrt(np.sum(x * x)))
         return (codes, x / norm) if norm > 0 else (codes[:0], x[:0])
 
-    def _add(self, scores: np.ndarray | None, lo: np.ndarray, hi: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def _add(self, lo: np.ndarray, hi: np.ndarray, weights: np.ndarray) -> np.ndarray:
         pieces = list(zip(lo.tolist(), hi.tolist()))
         if not pieces:
-            return np.zeros(len(self.ids)) if scores is None else scores
+            return np.zeros(len(self.ids))
         numbers = np.concatenate([self.numbers[a:b] for a, b in pieces])
         values = np.concatenate([self.values[a:b] for a, b in pieces])
         values *= np.repeat(weights, hi - lo)
-        got = np.bincount(numbers, weights=values, minlength=len(self.ids))
-        return got if scores is None else scores + got
+        return np.bincount(numbers, weights=values, minlength=len(self.ids))
 
     def nearest(self, text: str | None, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
         """Numbers and cosines of the ``k`` examples of largest cosine over 0, ties (to nine digits) to the smaller id; exact.
 
-        Rare and telling terms come first.  A block is alive if its best score so far and the bound on its common terms reach the
-        ``k``-th best score so far; only the postings between the first and the last block alive are read then.
+        Rare and telling terms come first.  An example is alive if its score so far and its block's bound on the common terms reach
+        the ``k``-th best score so far; the common terms are added for the examples alive only.
         """
         codes, x = self.vector(text)
         size = len(self.ids)
@@ -155,14 +157,18 @@ class Index:
         rows = self.row[codes]
         late = rows >= 0
         early = ~late
-        scores = self._add(None, self.cuts[codes[early]], self.cuts[codes[early] + 1], x[early])
+        scores = self._add(self.cuts[codes[early]], self.cuts[codes[early] + 1], x[early])
         if late.any():
             rows, y = rows[late], x[late]
             least = float(np.partition(scores, size - k)[size - k]) if size > k else 0.0
-            reach = np.maximum.reduceat(scores, np.arange(0, size, BLOCK)) + y @ self.peaks[rows]
+            reach = scores + np.repeat(y @ self.peaks[rows], BLOCK)[:size]
             alive = np.flatnonzero(reach >= least - 1e-9)
-            lo, hi = self.starts[rows, alive[0]], self.starts[rows, alive[-1] + 1]
-            scores = self._add(scores, lo, hi, y)
+            weights = np.zeros(self.dense.shape[1])
+            weights[rows] = y
+            if 2 * len(alive) > size:
+                scores += self.dense @ weights
+            else:
+                scores[alive] += self.dense[alive] @ weights
         scores = np.round(scores, 9)
         least = max(float(np.partition(scores, size - k)[size - k]) if size > k else 0.0, 1e-9)
         found = np.flatnonzero(scores >= least)

@@ -479,3 +479,15 @@ def test_quality_trains_on_every_trusted_document(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(5000)], "doc_id long, quality int")
     got = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).filter("doc_id >= 9000").collect()}
     assert got[9000] < 0.9 * got[9001]
+
+
+def test_postings_of_common_words_are_not_read(monkeypatch):
+    """Words that a quarter of the examples have are added last, for the examples that they can still raise."""
+    example = np.array([k for k in range(200)] + [k for k in range(200) if k % 4])
+    code = np.array([k for k in range(200)] + [200] * 150)
+    terms = [f"t{k}" for k in range(200)] + ["common"]
+    index = toxicity.Index(np.arange(200), np.arange(200) // 4 % 2, terms, example, code, np.ones(350), (1.0, 1.0)).ready()
+    read, add = [], index._add
+    monkeypatch.setattr(index, "_add", lambda *a: read.append(int((a[-2] - a[-3]).sum())) or add(*a))
+    found = index.nearest("common t9 t8")
+    assert sum(read) == 2 and {n for n, _ in found[:2]} == {int(np.flatnonzero(index.ids == k)[0]) for k in (8, 9)} and len(found) == toxicity.NEIGHBOURS
