@@ -1,6 +1,7 @@
 """Toxicity, quality, language-model scores and language identification against plain versions."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import exp, log, log10, sqrt
@@ -481,6 +482,34 @@ def test_quality_trains_on_every_trusted_document(spark):
     assert got[9000] < 0.9 * got[9001]
 
 
+def test_quality_in_rounds_equals_one_round_and_leaves_no_shuffles(spark):
+    """Rounds bound the disk: each round's messages and shuffle files are gone when the next one starts, and scores stay the same."""
+    rng = random.Random(21)
+    rows = [(i, "en", " ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(30))) for i in range(60)] + [(60, None, None), (None, "en", "w1 w2"), (3, "de", "w1 w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    texts = docs.filter("doc_id % 2 = 0").select("text")
+    scores = lambda df: sorted((r.doc_id or -1, r.lang or "", r.n_tokens, round(r.log10_ppl, 9)) for r in df.collect())
+    whole = scores(quality.whole_perplexities(docs, texts))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in str(disk.getAllFiles().mkString(",")).split(",") if "shuffle_" in f}
+    before, left, make = shuffles(), [], quality._blocks
+
+    def settled(*args):
+        """Learning and each round of scoring begin here; files are deleted in the background."""
+        for _ in range(100):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        left.append(len(shuffles() - before))
+        return make(*args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "_blocks", settled)
+        got = scores(quality.whole_perplexities(docs, texts, 100, 500, 300))
+    assert got == whole and len(got) == len(rows)
+    assert len(left) > 3 and not any(left)
+
+
 def test_postings_of_common_words_are_not_read(monkeypatch):
     """Words that a quarter of the examples have are added last, for the examples that they can still raise."""
     example = np.array([k for k in range(200)] + [k for k in range(200) if k % 4])
